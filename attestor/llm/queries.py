@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import chat_repair, exact_dedup, shard_minimax, url_rules
+from attestor.llm import chat_repair, decontaminate, exact_dedup, packing, shard_minimax, url_rules
 from attestor.llm.tables import table
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -20,9 +25,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_rules, op7_minimax_shards, op8_exact_dedup, op10_chat_repair)}
-ORACLE_SQL = {"op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
+ORACLE_SQL = {"op5_decontaminate": decontaminate.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
