@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import chat_repair, decontaminate, exact_dedup, packing, shard_minimax, url_rules
+from attestor.llm import chat_repair, decontaminate, exact_dedup, packing, pii, quality_pu, shard_minimax, url_rules
 from attestor.llm.tables import table
 
 
+def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -33,5 +41,5 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op4_pii, op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
 ORACLE_SQL = {"op5_decontaminate": decontaminate.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
