@@ -8,7 +8,10 @@ partitions exchange documents, and best-fit decreasing runs again, as long as th
 
 from __future__ import annotations
 
+import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,36 +29,77 @@ END_ID = 0
 #: Pieces in a partition; sequences filled to this share are never given up; rounds of exchange at most.
 PIECES, FULL, ROUNDS = 4096, 0.99, 3
 #: Chunks of a text that a task remembers, and the longest of them in bytes; neither bound changes a result.
-MEMORY, LONGEST = 300_000, 64
+MEMORY, LONGEST = 400_000, 64
+#: The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SIGNS = frozenset(bytes([c]) for c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 BATCH_BYTES = 4 << 20
 
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _packed(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class ChunkTokenizer:
     """Token ids of a text as little-endian 32-bit integers.
 
     The vocabulary's tokens never cross white space, so a text's ids are those of its chunks between spaces
-    and line feeds, one after another; chunks that come again are looked up.
+    and line feeds, one after another; nor do they cross from letters to a sign, and case makes no
+    difference, so a word with a sign after it is looked up as a word and a sign.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {b"": b""}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.known: dict[bytes, bytes] = {b"": b""}
+        self.words: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         chunks = text.replace(b"\n", b" ").split(b" ")
         found = list(map(self.known.get, chunks))
         if None in found:
-            new = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-            coded = self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False)
-            own = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, coded, strict=True)}
-            found = [own[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
             if len(self.known) > MEMORY:
                 self.known = {b"": b""}
-            self.known.update((c, ids) for c, ids in own.items() if len(c) <= LONGEST)
+            found = [self._new(c) if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
         return b"".join(found)
 
+    def _new(self, chunk: bytes) -> bytes:
+        word = chunk.lower()
+        if word.isalpha() or chunk.decode().isalpha():
+            ids = self._word(word)
+        elif word[-1:] in _SIGNS and (word[:-1].isalpha() or word[:-1].decode().lower().isalpha()):
+            ids = self._word(word[:-1]) + self._word(word[-1:])
+        else:
+            ids = self._coded(chunk)
+        if len(chunk) <= LONGEST:
+            self.known[chunk] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        if (ids := self.words.get(word)) is None:
+            text = word.decode()
+            lower = text.lower()
+            if lower.isalpha() and max(text) < "\u0250":  # Latin letters: one piece for the model, changed by no step before it but for case
+                ids = _packed([t.id for t in self.tokenize(lower.encode().decode("latin-1").translate(_VISIBLE))])
+            else:
+                ids = self._coded(word)
+            if len(self.words) > MEMORY:
+                self.words = {}
+            if len(word) <= LONGEST:
+                self.words[word] = ids
+        return ids
+
+    def _coded(self, chunk: bytes) -> bytes:
+        return _packed(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut every `capacity` ids."""
