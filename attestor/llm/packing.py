@@ -8,8 +8,11 @@ partitions exchange documents, and best-fit decreasing runs again, as long as th
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,7 +36,12 @@ MEMORY, LONGEST = 400_000, 64
 #: The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-_SIGNS = frozenset(bytes([c]) for c in b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Below U+0250 the vocabulary's steps before the model are plain: lower case, then runs of letters, single
+#: numbers and runs of signs. Apostrophes, white space and control characters have rules of their own.
+_LATIN = [c for c in map(chr, range(0x21, 0x250)) if c != "'" and not c.isspace() and unicodedata.category(c) != "Cc"]
+_CLASS = {kind: "".join(map(re.escape, (c for c in _LATIN if unicodedata.category(c)[0] in "LN" and unicodedata.category(c)[0] == kind))) for kind in "LN"}
+_PLAIN = re.compile("[" + "".join(map(re.escape, _LATIN)) + "]+")
+_PIECES = re.compile(f"[{_CLASS['L']}]+|[{_CLASS['N']}]|[^{_CLASS['L']}{_CLASS['N']}]+")
 BATCH_BYTES = 4 << 20
 
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -51,8 +59,7 @@ class ChunkTokenizer:
     """Token ids of a text as little-endian 32-bit integers.
 
     The vocabulary's tokens never cross white space, so a text's ids are those of its chunks between spaces
-    and line feeds, one after another; nor do they cross from letters to a sign, and case makes no
-    difference, so a word with a sign after it is looked up as a word and a sign.
+    and line feeds, one after another, and in plain chunks those of their words, numbers and signs.
     """
 
     def __init__(self, path: str):
@@ -60,7 +67,7 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {b"": b""}
-        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         chunks = text.replace(b"\n", b" ").split(b" ")
@@ -72,34 +79,29 @@ class ChunkTokenizer:
         return b"".join(found)
 
     def _new(self, chunk: bytes) -> bytes:
-        word = chunk.lower()
-        if word.isalpha() or chunk.decode().isalpha():
-            ids = self._word(word)
-        elif word[-1:] in _SIGNS and (word[:-1].isalpha() or word[:-1].decode().lower().isalpha()):
-            ids = self._word(word[:-1]) + self._word(word[-1:])
+        text = chunk.decode()
+        lower = text.lower()
+        if lower.isalpha() and max(text) < "\u0250":
+            ids = self._piece(lower)
+        elif _PLAIN.fullmatch(lower) and _PLAIN.fullmatch(text) and "<|" not in text:
+            ids = b"".join(map(self._piece, _PIECES.findall(lower)))
         else:
-            ids = self._coded(chunk)
+            ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(chunk) <= LONGEST:
             self.known[chunk] = ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
-        if (ids := self.words.get(word)) is None:
-            text = word.decode()
-            lower = text.lower()
-            if lower.isalpha() and max(text) < "\u0250":  # Latin letters: one piece for the model, changed by no step before it but for case
-                ids = _packed([t.id for t in self.tokenize(lower.encode().decode("latin-1").translate(_VISIBLE))])
-            else:
-                ids = self._coded(word)
-            if len(self.words) > MEMORY:
-                self.words = {}
-            if len(word) <= LONGEST:
-                self.words[word] = ids
+    def _piece(self, piece: str) -> bytes:
+        """Ids of letters, a digit or signs, which the model alone turns into tokens."""
+        if (ids := self.pieces.get(piece)) is None:
+            seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE)
+            ids = _packed([t.id for t in self.tokenize(seen)])
+            if len(self.pieces) > MEMORY:
+                self.pieces = {}
+            if len(piece) <= LONGEST:
+                self.pieces[piece] = ids
         return ids
 
-    def _coded(self, chunk: bytes) -> bytes:
-        return _packed(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
-
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut every `capacity` ids."""
@@ -107,6 +109,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkTokenizer(path)
+        gc.collect()  # a worker that is used again lets go of what it remembered before
         for batch in by_size(batches, "text", BATCH_BYTES):
             out: dict[str, list] = {name: [] for name in PIECE_SCHEMA.names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
