@@ -28,7 +28,7 @@ from attestor.llm.tables import by_size, settle
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 25, 2e-6.
 BANDS, ROWS = 25, 4
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 POINTS = 200_000
 
 
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = settle(source.mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signed")
     firsts = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
-    bands = signed.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct()
-    bands = settle(bands, "bands")
+    signatures_of = signed.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    bands = settle(signatures_of.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = settle(bands.join(shared.select("key"), "key", "left_semi"), "buckets")
     nodes = buckets.select(F.col("node").alias("id")).distinct()

@@ -8,7 +8,6 @@ partitions exchange documents, and best-fit decreasing runs again, as long as th
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import sys
@@ -109,7 +108,6 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ChunkTokenizer(path)
-        gc.collect()  # a worker that is used again lets go of what it remembered before
         for batch in by_size(batches, "text", BATCH_BYTES):
             out: dict[str, list] = {name: [] for name in PIECE_SCHEMA.names}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -8,7 +8,7 @@ _WORD = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x8
 #: A-Z to lower case; what is neither a digit, a letter nor beyond ASCII to a space.
 TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _WORD else 0x20 for c in range(256))
 BASE, STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

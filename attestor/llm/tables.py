@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,3 +50,11 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
             last = max(last, first + 1)
             yield batch.slice(first, last - first)
             first = last
+    _give_back()
+
+
+def _give_back() -> None:
+    """A worker that is used again returns the memory of its task."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
