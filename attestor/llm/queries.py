@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import bag_minhash, chat_repair, decontaminate, exact_dedup, packing, pii, quality_pu, shard_minimax, url_rules
+from attestor.llm import bag_minhash, chat_repair, decontaminate, exact_dedup, packing, pii, quality_pu, shard_minimax, suffix_dedup, url_rules
 from attestor.llm.tables import table
 
 
@@ -16,6 +16,10 @@ def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.repair_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_bag_minhash, op4_pii, op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_bag_minhash, op3_suffix_dedup, op4_pii, op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
 ORACLE_SQL = {"op5_decontaminate": decontaminate.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
