@@ -7,8 +7,8 @@ bids for one register of the signature; a register keeps its earliest point. Poi
 process stops at the text's latest register. Two signatures agree in a register with probability equal to
 the texts' weighted Jaccard similarity.
 
-Registers are banded. Texts in a bucket are compared exactly with the bucket's representative, those that
-are not near it with further ones, until each text has been near one or has been one itself.
+Registers are banded. Texts in a bucket are compared exactly with the bucket's leader, and those that are
+not near it with all others that share this leader, in blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 BATCH_BYTES = 1 << 20
 POINTS = 200_000
+#: Texts in a block of a group whose leader is not near all of them; columns of a product of rows.
+BLOCK, COLUMNS = 256, 2048
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -119,43 +121,88 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([similarity(bags[i], bags[n + i]) for i in range(n)], pa.float64())], ["a", "b", "similarity"])
 
 
+def _links_of_block(threshold: float):
+    """Links between texts of two blocks (or one) of a group, of which at least one is not near the group's leader.
+
+    Overlaps come from products of the texts' 0/1 rows over the elements (shingle, number of its occurrence)
+    that several texts have. Of the links only a spanning forest is returned: the classes need no more.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        rows = sorted(part.select(["node", "open", "block", "text"]).to_pylist(), key=lambda r: r["node"])
+        rows = [r for r, before in zip(rows, [None, *rows], strict=False) if before is None or r["node"] != before["node"]]
+        with np.errstate(over="ignore"):
+            of, shingle, count = shingle_bags([r["text"] for r in rows], WORDS, Powers())
+            sizes = np.bincount(of, count, len(rows))
+            number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            element, of = mix(np.repeat(shingle, count) + mix(number.astype(np.uint64))), np.repeat(of, count)
+        _, column, held = np.unique(element, return_inverse=True, return_counts=True)
+        several = held[column] > 1
+        of, column = of[several], np.unique(column[several], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        both = np.zeros((len(rows), len(rows)), np.float32)
+        for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            a, b = np.searchsorted(column, (first, first + COLUMNS))
+            has = np.zeros((len(rows), COLUMNS), np.float32)
+            has[of[a:b], column[a:b] - first] = 1
+            both += has @ has.T
+        near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-6
+        near &= both > 0
+        is_open, block = np.array([r["open"] for r in rows]), np.array([r["block"] for r in rows])
+        near &= is_open[:, None] | is_open[None, :]
+        if key[1].as_py() != key[2].as_py():
+            near &= block[:, None] != block[None, :]
+        root = list(range(len(rows)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+            x, y = find(i), find(j)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((rows[i]["node"], rows[j]["node"]))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
+
+
 def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) of distinct texts that are near each other, from buckets (key, node) of candidates."""
-    found: list[DataFrame] = []
-    left, number = buckets, 0
-    while True:
-        # 1, 1, 2, 4, ... representatives of each bucket: those of least node
-        most = 1 << max(0, number - 1)
-        leaders = left.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-        if most > 1:
-            firsts = left.groupBy("key", F.pmod(F.xxhash64("node", F.lit(number)), F.lit(most)).alias("part")).agg(F.min("node").alias("leader"))
-            leaders = firsts.join(leaders.select("key"), "key", "left_semi").select("key", "leader")
-        pairs = left.join(leaders.select("key", "leader"), "key").where("node <> leader")
-        pairs = settle(pairs.select("key", "node", "leader", F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")), f"pairs-{number}")
-        wanted = pairs.select("a", "b").distinct()
-        sides = wanted.select(F.explode(F.array(F.struct(F.col("a").alias("id"), "a", "b"), F.struct(F.col("b").alias("id"), "a", "b"))).alias("s")).select("s.*")
-        with_texts = texts.join(sides, "id").groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("id") == F.col("b"), F.col("text"))).alias("text_b"))
-        scored = settle(with_texts.mapInArrow(_compare, "a long, b long, similarity double"), f"scored-{number}")
-        near = scored.where(F.col("similarity") >= threshold).select("a", "b")
-        found.append(near)
-        # a text stays in its bucket if it was near none of the bucket's representatives and was none itself
-        done = pairs.join(near, ["a", "b"]).select("key", "node").unionByName(pairs.select("key", F.col("leader").alias("node"))).distinct()
-        left = settle(left.join(leaders.select("key").distinct(), "key", "left_semi").join(done, ["key", "node"], "left_anti"), f"left-{number}")
-        number += 1
-        if left.groupBy("key").count().where("count > 1").isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    """Links (a, b) that connect all texts near each other that share a bucket, from buckets (key, n, node).
+
+    The leader of a bucket is the text that shares most buckets with others, which stands in the middle of
+    its kind. Texts that share a bucket share its leader, so a leader's group has all their pairs. Each text
+    is compared with its leaders; those that are not near one are compared with the rest of its group, in
+    blocks of BLOCK texts, so that no task holds a group and no pairs are listed.
+    """
+    popular = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
+    ranked = buckets.join(popular, "node")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
+    groups = settle(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "groups")
+    sides = groups.select(F.explode(F.array(F.struct(F.col("leader").alias("id"), "leader", "node"), F.struct(F.col("node").alias("id"), "leader", "node"))).alias("s")).select("s.*")
+    pairs = texts.join(sides, "id").groupBy("leader", "node").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("id") == F.col("node"), F.col("text"))).alias("text_b"))
+    scored = settle(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double"), "scored")
+    near = scored.where(F.col("similarity") >= threshold).select("a", "b")
+
+    members = scored.select(F.col("a").alias("leader"), F.col("b").alias("node"), (F.col("similarity") < threshold).alias("open"))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("size"), F.count_if("open").alias("left")).where("left > 0 AND size > 1").select("leader", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    one = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+    met = dealt.withColumn("meeting", F.explode(one)).select("leader", "meeting.low", "meeting.high", "node", "open", "block")
+    inner = met.join(texts.withColumnRenamed("id", "node"), "node").groupBy("leader", "low", "high").applyInArrow(_links_of_block(threshold), "a long, b long")
+    return near.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, kept, n_links.
+    """One row for each row of docs: doc_id, class_id, kept.
 
     class_id is the smallest id among the documents that chains of near duplicates connect; that document is
-    kept. n_links counts the different texts that were found near the document's own. Texts of equal bags
-    are copies; a text of one to four words is a single shingle, and texts without words are copies only of
+    kept. Texts of equal bags are copies; a text of one to four words is a single shingle, and texts without words are copies only of
     themselves. A null text is empty. Rows with null ids are kept, with null class_id, where no row of an
     equal bag has an id. Rows that repeat an id share a decision; other columns are not read.
     """
@@ -165,12 +212,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signatures_of = signed.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     bands = settle(signatures_of.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = settle(bands.join(shared.select("key"), "key", "left_semi"), "buckets")
+    buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets")
     nodes = buckets.select(F.col("node").alias("id")).distinct()
     texts = settle(source.withColumnRenamed("doc_id", "id").join(nodes, "id", "left_semi"), "texts")
     links = settle(_links(buckets, texts, threshold), "links")
     labels = components(links)
-    degrees = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    classes = firsts.join(labels, "node", "left").join(degrees, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, "digest")
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "n_links")
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
