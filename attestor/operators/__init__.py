@@ -1 +1 @@
-
+"""DataFrame operators of literature-evidence analysis."""
