@@ -34,7 +34,7 @@ SERIES = f"""has AS (
   SELECT {PUB_YEAR} AS pub_year, list_contains(w, 'that') AS a, list_contains(w, 'with') AS b1, list_contains(w, 'und') AS b2
   FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z]+') AS w FROM documents)),
 series AS (
-  SELECT date, count_if(a) AS a_count, count_if(b1) AS b1, count_if(b2) AS b2, count_if(a AND b1) AS ab1, count_if(a AND b2) AS ab2, count(*) AS total
+  SELECT date, count(*) FILTER (WHERE a) AS a_count, count(*) FILTER (WHERE b1) AS b1, count(*) FILTER (WHERE b2) AS b2, count(*) FILTER (WHERE a AND b1) AS ab1, count(*) FILTER (WHERE a AND b2) AS ab2, count(*) AS total
   FROM has JOIN (SELECT unnest({YEARS})::INT AS date) ON pub_year <= date GROUP BY date)"""
 #: Judged comparisons, scores by iteration and entries, made from events.
 RUNS = """runs AS (

@@ -357,7 +357,7 @@ def dch_allocation(spark, sf_dir):
 SAMPLE_POOLS = f"""{inputs.MENTION}, rows AS (SELECT CASE token WHEN 'with' THEN 1 ELSE 2 END AS pool, pmid FROM mention WHERE token IN ('with', 'que'))"""
 
 
-@query(f"""WITH {SAMPLE_POOLS}, it AS (SELECT unnest(range(1, 4)) AS iteration), c AS (SELECT count_if(pool = 1) AS t1, count_if(pool = 2) AS t2 FROM rows),
+@query(f"""WITH {SAMPLE_POOLS}, it AS (SELECT unnest(range(1, 4)) AS iteration), c AS (SELECT count(*) FILTER (WHERE pool = 1) AS t1, count(*) FILTER (WHERE pool = 2) AS t2 FROM rows),
 n AS (SELECT greatest(least(CAST(round_even(t1 / (t1 + t2) * least(50, t1 + t2), 0) AS BIGINT), least(50, t1 + t2) - 3), 3) AS n1, least(50, t1 + t2) AS av FROM c)
 SELECT CAST(iteration AS INT) AS iteration, CAST(pool AS INT) AS pool, pmid, draw FROM (
   SELECT iteration, pool, pmid, row_number() OVER (PARTITION BY iteration, pool ORDER BY md5(concat_ws(':', '7', CAST(iteration AS VARCHAR), CAST(pmid AS VARCHAR))), pmid) AS draw FROM rows, it), n
@@ -380,7 +380,7 @@ def pool_fingerprint(spark, sf_dir):
     return lists.select("token", text.fingerprint(F.col("pmid").cast("array<string>")).alias("fingerprint"))
 
 
-@query(f"WITH {inputs.MENTION} SELECT p.pub_year, {', '.join(f'''CAST(count_if(token = '{t}') AS BIGINT) AS {t}''' for t in inputs.B_TERMS)} FROM (SELECT pmid, token, CAST(1975 + pmid % 50 AS INT) AS pub_year FROM mention WHERE token IN {tuple(inputs.B_TERMS)}) p GROUP BY p.pub_year")
+@query(f"WITH {inputs.MENTION} SELECT p.pub_year, {', '.join(f'''CAST(count(*) FILTER (WHERE token = '{t}') AS BIGINT) AS {t}''' for t in inputs.B_TERMS)} FROM (SELECT pmid, token, CAST(1975 + pmid % 50 AS INT) AS pub_year FROM mention WHERE token IN {tuple(inputs.B_TERMS)}) p GROUP BY p.pub_year")
 def pivot_year_term(spark, sf_dir):
     from attestor.operators.reports import pivot_years
 
