@@ -3,7 +3,7 @@
 A small network learns from trusted positives and unlabelled texts alone. It minimises the non-negative
 unbiased risk  prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]),  where the prior, the
 share of positives among unlabelled texts, is estimated as their share among the labelled rows that may be
-learnt from; negatives serve for nothing else. With the logistic loss the output is the probability of label 1.
+learnt from, negatives serving for nothing else, and lowered where a first model's scores show fewer. With the logistic loss the output is the probability of label 1.
 """
 
 from __future__ import annotations
@@ -109,6 +109,25 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, averaged if kept else params)
 
 
+def prior_from_scores(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled scores: where the ratio of those beyond a threshold, of the unlabelled to the
+    positives, has its least upper confidence bound, negatives beyond it are fewest."""
+    p, u = np.sort(positive), np.sort(unlabelled)
+    at = p[: max(1, int(0.9 * len(p)))]
+    beyond_p, beyond_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    ratio = beyond_u / beyond_p
+    bound = ratio + (math.sqrt(math.log(40) / (2 * len(u))) + ratio * math.sqrt(math.log(40) / (2 * len(p)))) / beyond_p
+    return float(ratio[np.argmin(bound)])
+
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray, labelled_share: float) -> Model:
+    """A model with the prior that labels suggest, and with a lower one where its scores show fewer positives: too high a
+    prior lets negatives pass at no risk."""
+    first = fit(positive, unlabelled, labelled_share)
+    prior = min(0.99, max(0.01, prior_from_scores(first.score(positive), first.score(unlabelled))))
+    return first if prior >= labelled_share else fit(positive, unlabelled, prior)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5 is 0; true also for a null id, which is never learnt from."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % FOLDS == 0, F.lit(True))
@@ -138,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unl
         return None
     order = np.lexsort(x.T)  # the same sums whatever order the rows came in
     x, positive = x[order], positive[order]
-    return fit(x[positive], x[~positive], prior)
+    return learn(x[positive], x[~positive], prior)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
