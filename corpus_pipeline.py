@@ -22,7 +22,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id; rows are told apart by id and digest."""
     gone = exact_dedup.exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")).distinct()
     digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
