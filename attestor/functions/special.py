@@ -6,8 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+# types as objects: a DDL string could only be parsed once a session is there
+INTERVAL = T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
+PARAMETERS = T.StructType([T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
+
 
 def _log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
@@ -168,44 +173,44 @@ def _each(f, *columns: pd.Series) -> pd.Series:
     return pd.Series([f(*x) for x in zip(*(c.astype("float64") for c in columns), strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def fisher_greater_p(ab: pd.Series, a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
     return _each(fisher_greater, ab, a, b, total)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def fisher_two_sided_p(ab: pd.Series, a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
     return _each(fisher_two_sided, ab, a, b, total)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def binomial_greater_p(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return _each(binomial_greater, k, n, p)
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return pd.Series([math.erfc(v) if not math.isnan(v) else math.nan for v in x.astype("float64")], dtype="float64")
 
 
-@pandas_udf("struct<low double, high double>")
+@pandas_udf(INTERVAL)
 def beta_interval_hdi(a: pd.Series, b: pd.Series, mass: pd.Series) -> pd.DataFrame:
     found = [beta_hdi(*x) for x in zip(a, b, mass, strict=True)]
     return pd.DataFrame(found, columns=["low", "high"])
 
 
-@pandas_udf("struct<low double, high double>")
+@pandas_udf(INTERVAL)
 def beta_interval_eti(a: pd.Series, b: pd.Series, mass: pd.Series) -> pd.DataFrame:
     found = [(beta_ppf((1 - m) / 2, x, y), beta_ppf((1 + m) / 2, x, y)) for x, y, m in zip(a, b, mass, strict=True)]
     return pd.DataFrame(found, columns=["low", "high"])
 
 
-@pandas_udf("struct<a double, b double>")
+@pandas_udf(PARAMETERS)
 def beta_mle_fit(mean_log: pd.Series, mean_log1m: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     found = [beta_mle(*x) if not any(map(np.isnan, x)) else (np.nan, np.nan) for x in zip(mean_log, mean_log1m, a, b, strict=True)]
     return pd.DataFrame(found, columns=["a", "b"])
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def beta_density(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(beta_pdf, x, a, b)

@@ -158,3 +158,38 @@ def beta_draws(rows: DataFrame, keys: list[str], a: str, b: str, n: int = 1000,
 def draw_summary(draws: DataFrame, keys: list[str]) -> DataFrame:
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     return draws.groupBy(*keys).agg(F.avg("value").alias("mean"), q.alias("q")).select(*keys, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def sums_by_c(chains: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each C term (and further keys): sums of its chains' ratios and counts, and its own count."""
+    return chains.groupBy(*keys).agg(
+        F.sum("bc_sort_ratio").alias("ratio_sum"),
+        F.avg("bc_sort_ratio").alias("ratio_mean"),
+        F.sum("bc_count").alias("bc_sum"),
+        F.sum("b_count").alias("b_sum"),
+        F.sum("c_count").alias("c_sum"),
+        F.max("c_count").alias("c_count"),
+    )
+
+
+def difference_of_sums(s1: Column, s2: Column, c1: Column, c2: Column) -> Column:
+    """The difference of two sums, scaled by how common the two C terms are."""
+    return (s1 - s2) * (_d(c2) / F.nullif(_d(c1), F.lit(0.0)))
+
+
+def normalised_count(k2: Column, c1: Column, c2: Column) -> Column:
+    """k2 as if its C term were as common as the first one, rounded."""
+    return F.bround(_d(k2) * c1 / F.nullif(_d(c2), F.lit(0.0)))
+
+
+def best_chain_intervals(chains: DataFrame, keys: list[str], total: Column, least: int = 2) -> DataFrame:
+    """Of each key the chain with the largest ln OR(A, B) + ln OR(B, C), and the 99 % interval of that sum.
+
+    Only chains with more than `least` articles at both steps and a positive sum count; a key without one has
+    no row. chains: a_count, b_count, c_count, ab_count, bc_count.
+    """
+    ab, bc = ([F.col(x), F.col(y), F.col(z), total] for x, y, z in (("a_count", "b_count", "ab_count"), ("c_count", "b_count", "bc_count")))
+    fit = chains.where((F.col("ab_count") > least) & (F.col("bc_count") > least)).withColumn("log_odds", F.log(odds_ratio(*ab)) + F.log(odds_ratio(*bc)))
+    variance = sum((1 / F.nullif(c, F.lit(0.0)) for t in (ab, bc) for c in cells(*t)), F.lit(0.0))
+    best = fit.where("log_odds > 0").withColumn("width", F.lit(Z99) * F.sqrt(variance)).groupBy(*keys).agg(F.max(F.struct("log_odds", "b_term", "width")).alias("best"))
+    return best.select(*keys, "best.b_term", "best.log_odds", (F.col("best.log_odds") - F.col("best.width")).alias("low"), (F.col("best.log_odds") + F.col("best.width")).alias("high"))

@@ -279,6 +279,49 @@ def stat_plot_series(spark, sf_dir):
     return inputs.runs(spark, sf_dir).select("event_id", F.round(text.neg_log10(p), 6).alias("neg_log10"))
 
 
+CHAIN = f"""{inputs.PAIRS}, bc AS (SELECT b.token AS b_term, c.token AS c_term, count(*) AS bc_count FROM mention b JOIN mention c USING (pmid) WHERE b.token IN {tuple(inputs.B_TERMS)} AND c.token IN {tuple(inputs.C_TERMS)} GROUP BY ALL),
+chains AS (SELECT p.a_term, p.b_term, c_term, a_count, b_count, ab_count, bc_count, n.n AS c_count FROM pairs p JOIN bc USING (b_term) JOIN n ON n.token = c_term WHERE ab_count > 0)"""
+
+
+def _chains(spark, sf_dir):
+    mention = cooccurrence.mentions(inputs.articles(spark, sf_dir))
+    ab = cooccurrence.pair_counts(mention, inputs.A_TERMS, inputs.B_TERMS).where("ab_count > 0")
+    bc = cooccurrence.pair_counts(mention, inputs.B_TERMS, inputs.C_TERMS).where("ab_count > 0")
+    bc = bc.select(F.col("a_term").alias("b_term"), F.col("b_term").alias("c_term"), F.col("b_count").alias("c_count"), F.col("ab_count").alias("bc_count"))
+    return cooccurrence.chains(ab, bc).withColumn("bc_sort_ratio", cooccurrence.sort_ratio(F.col("bc_count"), F.col("c_count")))
+
+
+@query(f"WITH {CHAIN} SELECT a_term, c_term, round(sum(bc_count / c_count), 9) AS ratio_sum, CAST(sum(bc_count) AS BIGINT) AS bc_sum, CAST(sum(b_count) AS BIGINT) AS b_sum, max(c_count) AS c_count FROM chains GROUP BY ALL")
+def sums_by_c(spark, sf_dir):
+    out = statistics.sums_by_c(_chains(spark, sf_dir), ["a_term", "c_term"])
+    return out.select("a_term", "c_term", F.round("ratio_sum", 9).alias("ratio_sum"), "bc_sum", "b_sum", "c_count")
+
+
+STEP = "ln({k} * (t - {x} - b_count + {k}) / nullif(({x} - {k}) * (b_count - {k}), 0))"
+WIDTH = "1 / nullif({k}, 0) + 1 / nullif({x} - {k}, 0) + 1 / nullif(b_count - {k}, 0) + 1 / nullif(t - {x} - b_count + {k}, 0)"
+
+
+@query(f"""WITH {CHAIN}, o AS (
+  SELECT a_term, c_term, b_term, {STEP.format(k='ab_count', x='a_count')} + {STEP.format(k='bc_count', x='c_count')} AS log_odds, 2.576 * sqrt({WIDTH.format(k='ab_count', x='a_count')} + {WIDTH.format(k='bc_count', x='c_count')}) AS width
+  FROM chains, (SELECT count(*) AS t FROM documents) WHERE ab_count > 2 AND bc_count > 2 AND ab_count * (t - a_count - b_count + ab_count) > 0 AND bc_count * (t - c_count - b_count + bc_count) > 0)
+SELECT a_term, c_term, b_term, round(log_odds, 6) AS log_odds, round(log_odds - width, 6) AS low, round(log_odds + width, 6) AS high FROM o WHERE log_odds > 0 QUALIFY row_number() OVER (PARTITION BY a_term, c_term ORDER BY log_odds DESC, b_term DESC) = 1""")
+def ci_or_chain(spark, sf_dir):
+    total = inputs.table(spark, sf_dir, "documents").count()
+    out = statistics.best_chain_intervals(_chains(spark, sf_dir), ["a_term", "c_term"], F.lit(total))
+    return out.select("a_term", "c_term", "b_term", *[F.round(c, 6).alias(c) for c in ("log_odds", "low", "high")])
+
+
+@query(f"""WITH {CHAIN}, s AS (SELECT a_term, c_term, sum(bc_count)::DOUBLE AS k, max(c_count)::DOUBLE AS c FROM chains GROUP BY ALL), w AS (
+  SELECT a_term, max(CASE WHEN c_term = 'der' THEN k END) AS k1, max(CASE WHEN c_term = 'thin' THEN k END) AS k2, max(CASE WHEN c_term = 'der' THEN c END) AS c1, max(CASE WHEN c_term = 'thin' THEN c END) AS c2 FROM s GROUP BY a_term)
+SELECT a_term, round((k1 - k2) * (c2 / c1), 6) AS difference, round_even(k2 * c1 / c2, 0) AS k2_normalised FROM w WHERE k1 IS NOT NULL AND k2 IS NOT NULL""")
+def difference_of_sums(spark, sf_dir):
+    sums = statistics.sums_by_c(_chains(spark, sf_dir), ["a_term", "c_term"])
+    of = lambda t, c: F.max(F.when(F.col("c_term") == t, F.col(c)))
+    w = sums.groupBy("a_term").agg(of("der", "bc_sum").alias("k1"), of("thin", "bc_sum").alias("k2"), of("der", "c_count").alias("c1"), of("thin", "c_count").alias("c2")).where("k1 IS NOT NULL AND k2 IS NOT NULL")
+    c = [F.col(x) for x in ("k1", "k2", "c1", "c2")]
+    return w.select("a_term", F.round(statistics.difference_of_sums(*c), 6).alias("difference"), statistics.normalised_count(c[1], c[2], c[3]).alias("k2_normalised"))
+
+
 # ---- competition ----
 
 
