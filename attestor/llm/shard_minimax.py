@@ -18,6 +18,8 @@ from attestor.llm.tables import settle
 
 #: Slices into which one round divides each open range; a round brings at most one group end a slice.
 SLICES = 1024
+#: Groups with more than a 1/GROUPS of all rows, of which there are fewer than GROUPS, are broadcast instead of shuffled.
+GROUPS = 1000
 
 
 class Ends:
@@ -105,8 +107,12 @@ def minimax_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"))
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    ordered = rows.join(firsts, "digest").repartitionByRange("first_id", "digest", "doc_id").withColumn("part", F.spark_partition_id())
+    rows = settle(rows, "shard-texts")
+    firsts = settle(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "shard-groups")
+    frequent = firsts.where(F.col("n") * GROUPS > rows.count()).select("digest", "first_id")  # fewer than GROUPS
+    rare = rows.join(F.broadcast(frequent), "digest", "left_anti").join(firsts.select("digest", "first_id"), "digest")
+    placed_by_first = rows.join(F.broadcast(frequent), "digest").select(rare.columns).unionByName(rare)
+    ordered = placed_by_first.repartitionByRange("first_id", "digest", "doc_id").withColumn("part", F.spark_partition_id())
     ordered = settle(ordered, "shard-rows")  # later steps count on rows staying in their part
 
     by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
