@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestor.llm.tables import by_size, settle
+from attestor.llm.tables import by_size, give_back, settle
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -117,6 +117,8 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                     for name, value in zip(out, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, PIECE_SCHEMA)
+        coder.known, coder.pieces = {}, {}
+        give_back()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInArrow(run, PIECE_DDL)

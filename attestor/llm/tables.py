@@ -36,7 +36,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation, and columns such as a partition's number keep their values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # Snappy's readers hold direct buffers until the heap is collected
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,10 +50,10 @@ def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterat
             last = max(last, first + 1)
             yield batch.slice(first, last - first)
             first = last
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """A worker that is used again returns the memory of its task."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
