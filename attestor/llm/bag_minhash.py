@@ -183,10 +183,10 @@ def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     popular = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
     ranked = buckets.join(popular, "node")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
-    groups = settle(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "groups")
+    groups = settle(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "groups", narrow=True)
     sides = groups.select(F.explode(F.array(F.struct(F.col("leader").alias("id"), "leader", "node"), F.struct(F.col("node").alias("id"), "leader", "node"))).alias("s")).select("s.*")
     pairs = texts.join(sides, "id").groupBy("leader", "node").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("id") == F.col("node"), F.col("text"))).alias("text_b"))
-    scored = settle(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double"), "scored")
+    scored = settle(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double"), "scored", narrow=True)
     near = scored.where(F.col("similarity") >= threshold).select("a", "b")
 
     members = scored.select(F.col("a").alias("leader"), F.col("b").alias("node"), (F.col("similarity") < threshold).alias("open"))
@@ -208,15 +208,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = settle(source.mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signed")
-    firsts = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts")
+    firsts = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts", narrow=True)
     signatures_of = signed.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = settle(signatures_of.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "bands")
+    bands = settle(signatures_of.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "bands", narrow=True)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets")
+    buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets", narrow=True)
     nodes = buckets.select(F.col("node").alias("id")).distinct()
     texts = settle(source.withColumnRenamed("doc_id", "id").join(nodes, "id", "left_semi"), "texts")
-    links = settle(_links(buckets, texts, threshold), "links")
+    links = settle(_links(buckets, texts, threshold), "links", narrow=True)
     labels = components(links)
     classes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     out = signed.select("doc_id", "digest").join(classes, "digest")
     return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, and the closure of their links: for small tables only.
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, array_to_string(w[p : p + 4], ' ') AS g, count(*) AS n
+  FROM t, unnest(range(1, greatest(len(w) - 3, 2))) AS u(p) WHERE len(w) > 0 GROUP BY ALL),
+z AS (SELECT doc_id, sum(n) AS z FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE m >= 0.8 * (zx.z + zy.z - m)
+  UNION SELECT a.doc_id, b.doc_id FROM t a JOIN t b ON a.text = b.text AND a.doc_id < b.doc_id WHERE len(a.w) = 0),
+mutual AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, b.y FROM reach r JOIN mutual b ON b.x = r.y)
+SELECT x AS doc_id, min(y) AS class_id, x = min(y) AS kept FROM reach GROUP BY x
+"""

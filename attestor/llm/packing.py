@@ -193,7 +193,7 @@ def pack_pieces(pieces: DataFrame, *, capacity: int = CAPACITY, pieces_per_part:
         n = left.count()
         parts = max(1, -(-n // pieces_per_part))
         dealt = left.select(*PIECE_SCHEMA.names, F.pmod(F.xxhash64(F.lit(number), "doc_id", "piece", "ids_crc32"), F.lit(parts)).alias("part"))
-        packed = settle(dealt.groupBy("part").applyInArrow(_pack(capacity, full, number), PACKED_DDL), f"packed-{number}")
+        packed = settle(dealt.groupBy("part").applyInArrow(_pack(capacity, full, number), PACKED_DDL), f"packed-{number}", narrow=True)
         first = F.col("offset") == 0
         bins, open_bins, open_pieces = packed.agg(F.count_if(first), F.count_if(first & ~F.col("settled")), F.count_if(~F.col("settled"))).first()
         if before is not None and bins >= before[1]:

@@ -50,4 +50,4 @@ def op10_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_bag_minhash, op3_suffix_dedup, op4_pii, op5_decontaminate, op6_url_rules, op7_minimax_shards, op8_exact_dedup, op9_best_fit_packing, op10_chat_repair)}
-ORACLE_SQL = {"op5_decontaminate": decontaminate.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op2_bag_minhash": bag_minhash.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op7_minimax_shards": shard_minimax.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op6_url_rules": url_rules.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

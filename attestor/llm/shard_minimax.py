@@ -108,7 +108,7 @@ def minimax_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("digest"))
     rows = settle(rows, "shard-texts")
-    firsts = settle(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "shard-groups")
+    firsts = settle(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "shard-groups", narrow=True)
     frequent = firsts.where(F.col("n") * GROUPS > rows.count()).select("digest", "first_id")  # fewer than GROUPS
     rare = rows.join(F.broadcast(frequent), "digest", "left_anti").join(firsts.select("digest", "first_id"), "digest")
     placed_by_first = rows.join(F.broadcast(frequent), "digest").select(rare.columns).unionByName(rare)
@@ -118,9 +118,9 @@ def minimax_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     by_part = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = ordered.groupBy("part").agg(F.sum("size").alias("bytes")).select("part", F.coalesce(F.sum("bytes").over(by_part), F.lit(0)).alias("before"))
     within = Window.partitionBy("part").orderBy("first_id", "digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = settle(ordered.join(F.broadcast(parts), "part").withColumn("upto", F.col("before") + F.sum("size").over(within)).drop("before"), "shard-places")
+    placed = settle(ordered.join(F.broadcast(parts), "part").withColumn("upto", F.col("before") + F.sum("size").over(within)).drop("before"), "shard-places", narrow=True)
 
-    ends = settle(placed.groupBy("first_id", "digest").agg(F.max("upto").alias("upto"), F.sum("size").alias("bytes")), "shard-ends")
+    ends = settle(placed.groupBy("first_id", "digest").agg(F.max("upto").alias("upto"), F.sum("size").alias("bytes")), "shard-ends", narrow=True)
     total, largest = ends.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
 
     def ends_between(ranges: list, width: int) -> list[dict]:
@@ -143,3 +143,26 @@ def minimax_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id",
     offsets = seen.select("shard", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("part", "shard").orderBy("first_id", "digest", "doc_id", "size"))
     return sharded.withColumn("rank", rank).join(F.broadcast(offsets), ["shard", "part"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _oracle(shards: int = 8) -> str:
+    """The same partition in SQL: the least capacity by dynamic programming over group ends, then the greedy cuts; CRC-32 by its table."""
+    steps = "".join(f",\nd{k} AS (SELECT z.e, min(greatest(p.c, z.e - p.e)) AS c FROM z JOIN d{k - 1} p ON p.e <= z.e GROUP BY z.e)" for k in range(2, shards + 1))
+    cuts = "".join(f",\nk{k} AS (SELECT max(z.e) AS e FROM z, cap, k{k - 1} b WHERE z.e <= b.e + cap.c)" for k in range(1, shards))
+    shard = " + ".join(f"CASE WHEN o.e > (SELECT e FROM k{k}) THEN 1 ELSE 0 END" for k in range(1, shards))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tb),
+u AS (SELECT text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM (SELECT DISTINCT text FROM t)),
+crc AS (SELECT text, xor(list_reduce(b, lambda a, x: xor(a >> 8, tb[xor(a & 255, x) + 1]), 4294967295), 4294967295) AS text_crc32 FROM u, tab),
+g AS (SELECT text, min(doc_id) AS first_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS s FROM t GROUP BY text),
+o AS (SELECT *, CAST(sum(s) OVER (ORDER BY first_id) AS BIGINT) AS e FROM g),
+z AS (SELECT 0::BIGINT AS e UNION ALL SELECT e FROM o),
+d1 AS (SELECT e, e AS c FROM z){steps},
+cap AS (SELECT c FROM d{shards} ORDER BY e DESC LIMIT 1),
+k0 AS (SELECT 0::BIGINT AS e){cuts},
+r AS (SELECT t.doc_id, o.first_id, CAST(strlen(t.text) + 1 AS BIGINT) AS size, text_crc32, CAST({shard} AS INT) AS shard FROM t JOIN o USING (text) JOIN crc USING (text))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY first_id, doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM r"""
+
+
+ORACLE = _oracle()

@@ -336,7 +336,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         source = source.join(repeated.withColumn("again", F.lit(True)), "id", "left").select("doc_id", "id", "text", F.when(F.col("again"), F.crc32(F.coalesce("text", F.lit(b"")))).otherwise(F.lit(0)).cast("long").alias("tag"))
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blobs = source.select("id", "tag", "text").mapInArrow(_hash_segments(max(1, -(-size // bucket_bytes)), length, gram), BLOBS_DDL)
-    found = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(hot), SPANS_DDL), "segments")
+    found = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(hot), SPANS_DDL), "segments", narrow=True)
 
     gathered = found.where(F.col("kind") != REPEAT).agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
     placed = source.select("id", "tag", "doc_id", "text").repartition("id", "tag")
@@ -346,3 +346,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     sorted_out = shards.groupBy("shard").applyInArrow(_sort_shard(length, Scratch().budget if memory is None else memory), SPANS_DDL)
     every = found.where(F.col("kind") == REPEAT).unionByName(sorted_out).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     return placed.join(every, ["id", "tag"], "left").select("doc_id", "text", "found").mapInArrow(_cut(with_bytes), RESULT_DDL)
+
+
+#: Every string of 100 bytes by its MD5: for small tables only.
+ORACLE = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+l AS (SELECT doc_id, list_transform(range(0, length(h) // 2 - 99), lambda p: md5_number(substring(h, 2 * p + 1, 200))) AS m FROM b),
+w AS (SELECT doc_id, unnest(range(0, len(m))) AS p, unnest(m) AS s FROM l),
+again AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, a AS to_ FROM spans
+  UNION ALL SELECT doc_id, max(z), 1000000000 FROM spans GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * from_ + 1, 2 * (to_ - from_)), '' ORDER BY from_) AS k FROM gaps JOIN b USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM b LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: lineage ends there, so a lost
-    executor costs no recomputation, and columns such as a partition's number keep their values."""
+    executor costs no recomputation, and columns such as a partition's number keep their values.
+
+    narrow is for a few short columns that come out of a shuffle: many small partitions then go to fewer
+    files, four for each of the cluster's cores at most."""
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark).rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)  # Snappy's readers hold direct buffers until the heap is collected
     return spark.read.schema(df.schema).parquet(path)
