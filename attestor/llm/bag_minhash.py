@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets", narrow=True)
     nodes = buckets.select(F.col("node").alias("id")).distinct()
-    texts = settle(source.withColumnRenamed("doc_id", "id").join(nodes, "id", "left_semi"), "texts")
+    # by shuffle at every size, as many candidates need it: the plan, and what it takes, then grow in step with the input
+    texts = settle(source.withColumnRenamed("doc_id", "id").join(nodes.hint("merge"), "id", "left_semi"), "texts")
     links = settle(_links(buckets, texts, threshold), "links", narrow=True)
     labels = components(links)
     classes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
