@@ -80,9 +80,10 @@ class ChunkTokenizer:
     def _new(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         lower = text.lower()
-        if lower.isalpha() and max(text) < "\u0250":
+        plain = text.isascii()
+        if lower.isalpha() and (plain or max(text) < "\u0250"):
             ids = self._piece(lower)
-        elif _PLAIN.fullmatch(lower) and _PLAIN.fullmatch(text) and "<|" not in text:
+        elif (text.isprintable() and "'" not in text if plain else _PLAIN.fullmatch(lower) and _PLAIN.fullmatch(text)) and "<|" not in text:
             ids = b"".join(map(self._piece, _PIECES.findall(lower)))
         else:
             ids = _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
