@@ -485,7 +485,7 @@ def censor_years(spark, sf_dir):
 
 @query("""WITH c AS (SELECT user_id % 4 AS workers, epoch_us(ts) / 1e6 AS started, epoch_us(ts) / 1e6 + value AS finished, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'signup' THEN 'http_5xx' WHEN 'click' THEN 'other' ELSE 'ok' END AS class FROM events)
 SELECT workers, round(max(finished) - min(started), 3) AS elapsed_s, round(count(*) / (max(finished) - min(started)), 9) AS throughput_rps, round(avg(finished - started), 4) AS avg_latency_s,
-  count(*) FILTER (WHERE class = 'ok') AS n_ok, count(*) FILTER (WHERE class = 'timeout') AS n_timeout, 0 AS n_kv_exhausted, count(*) FILTER (WHERE class = 'http_5xx') AS n_http_5xx, count(*) FILTER (WHERE class = 'other') AS n_other FROM c GROUP BY workers""")
+  count(*) FILTER (WHERE class = 'ok') AS n_ok, count(*) FILTER (WHERE class = 'timeout') AS n_timeout, 0::BIGINT AS n_kv_exhausted, count(*) FILTER (WHERE class = 'http_5xx') AS n_http_5xx, count(*) FILTER (WHERE class = 'other') AS n_other FROM c GROUP BY workers""")
 def bench_summary(spark, sf_dir):
     error = F.when(F.col("event_type") == "error", "Read timed out").when(F.col("event_type") == "signup", "bad gateway").when(F.col("event_type") == "click", "odd")
     started = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
