@@ -423,20 +423,20 @@ def _judge(spark, sf_dir):
     return judge
 
 
-def _contenders(spark, sf_dir, n):
-    return [r[0] for r in inputs.ordered(spark, sf_dir).orderBy("pos").select("term").limit(n).collect()]
+def _contenders(spark, sf_dir):
+    return [r[0] for r in inputs.ordered(spark, sf_dir).orderBy("pos").select("term").collect()]
 
 
 @query()
 def tournament(spark, sf_dir):
-    alive, history = competition.tournament(spark, _contenders(spark, sf_dir, 9), _judge(spark, sf_dir), seed=1, threshold=1.0)
+    alive, history = competition.tournament(spark, _contenders(spark, sf_dir), _judge(spark, sf_dir), seed=1, threshold=1.0)
     rounds = max((h["round"] for h in history), default=0)
     return spark.createDataFrame([(t, rounds) for t in alive] or [("", rounds)], "term string, rounds int")
 
 
 @query()
 def ranking(spark, sf_dir):
-    order, _, out, converged = competition.ranking(spark, _contenders(spark, sf_dir, 6), _judge(spark, sf_dir), seed=1, threshold=0.5)
+    order, _, out, converged = competition.ranking(spark, _contenders(spark, sf_dir), _judge(spark, sf_dir), seed=1, threshold=0.5)
     return spark.createDataFrame([(i + 1, t, out.get(t), converged) for i, t in enumerate(order)], "rank int, term string, reason string, converged boolean")
 
 
