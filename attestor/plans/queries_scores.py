@@ -197,7 +197,7 @@ def weighted_binomial(spark, sf_dir):
 def perm_test(spark, sf_dir):
     s = text.number(F.col("score"))
     lists = inputs.runs(spark, sf_dir).groupBy("censor_year").agg(*[F.array_sort(F.collect_list(F.when(F.col("event_type") == e, s))).alias(f"list{i}") for i, e in ((1, "view"), (2, "click"))])
-    return statistics.permutation_test(lists, ["censor_year"], 200, 3)
+    return statistics.permutation_test(lists, ["censor_year"], seed=3)
 
 
 @query("""SELECT s_nationkey AS year, CASE WHEN count(*) FILTER (s_acctbal > 5000) = 0 THEN 'NOLINES' WHEN count(*) FILTER (s_acctbal > 5000) = 1 OR count(DISTINCT CASE WHEN s_acctbal > 5000 THEN s_suppkey % 2 END) = 1 THEN 'ONLY1' END AS sentinel FROM supplier GROUP BY s_nationkey""")
