@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.endings import ENDINGS
 from attestor.llm.tables import by_size
 
 KINDS = ("email", "ip", "card", "phone")
@@ -95,7 +96,9 @@ SPELLED = (
 _DIGITS = {word: str(i) for words in SPELLED for i, word in enumerate(words.split())}
 _TIMES = {"double": 2, "triple": 3}
 _WORD = "|".join(sorted((*_DIGITS, *_TIMES, "plus"), key=len, reverse=True))
-_NUMBER_WORDS = re.compile(rf"\b(?:{_WORD})\b(?:[\s,.-]+(?:{_WORD})\b){{3,}}", re.IGNORECASE)
+#: Runs of number words, digits and plus signs; those with a word are signs of disguise.
+_RUN = rf"(?:[0-9+]|\b(?:{_WORD})\b)(?:[\s,.()-]*+(?:[0-9+]|\b(?:{_WORD})\b))++"
+_NUMBERS, _NUMBERS_ANY_CASE = re.compile(_RUN), re.compile(_RUN, re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.IGNORECASE)
 _DOT = re.compile(r"\sdot\s", re.IGNORECASE)
 _RULES = re.compile(
@@ -104,9 +107,12 @@ _RULES = re.compile(
     re.IGNORECASE,
 )
 
+_FOLDED = str.maketrans({"ſ": "s", "ı": "i", "\u0307": None})
 
-#: Last labels that an address with a bare " at " must end in.
-ENDINGS = frozenset("com org net edu gov mil int info biz io ai co eu de fr es uk us ca au ch at it nl be pt br mx".split())
+
+def _lower(word: str) -> str:
+    """A word that a pattern found in any case, as the tables spell it: the pattern takes ſ for s, ı and İ for i."""
+    return word.lower().translate(_FOLDED)
 
 
 class Normal:
@@ -130,10 +136,10 @@ class Normal:
             copy(m.start())
             begin, end, rule = kept[m.start()], kept[m.end() - 1] + 1, m.lastgroup
             if rule == "times":
-                times = _TIMES[m[0].strip().lower()]
+                times = _TIMES[_lower(m[0].strip())]
             elif rule == "digit":
                 for _ in range(times or 1):
-                    self._write(_DIGITS[m[0].lower()], begin, end, rule)
+                    self._write(_DIGITS[_lower(m[0])], begin, end, rule)
                 times = 0
             else:
                 self._write({"at": "@", "dot": ".", "bare": "@", "plus": "+", "gap": " "}[rule], begin, end, rule if m[0] != " " else "")
@@ -165,8 +171,9 @@ def windows(text: str) -> list[Span]:
     low = text.lower()
     if " dot" in low or "\ndot" in low or "\tdot" in low:
         signs += [m.span() for m in _DOT.finditer(text)]
-    if sum(word in low for word in _DIGITS) >= 2 or any(word in low for word in _TIMES):
-        signs += [m.span() for m in _NUMBER_WORDS.finditer(text)]
+    cased = len(low) != len(text) or not text.isascii() and ("ſ" in text or "ı" in text)
+    found = _NUMBERS_ANY_CASE.finditer(text) if cased else _NUMBERS.finditer(low)
+    signs += [m.span() for m in found if m[0].lower() != m[0].upper()]
     out: list[list[int]] = []
     for a, b in sorted(signs):
         a, b = max(0, a - AROUND), min(len(text), b + AROUND)
