@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from attestor.llm.tables import by_size
 
 KINDS = ("email", "ip", "card", "phone")
 BATCH_BYTES = 4 << 20
-#: Characters around a sign of disguise that are rewritten with it; windows that meet are one.
-AROUND = 256
+#: Characters searched first for the edge of a window; where there is none, twice as many, and so on.
+REACH = 256
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,8 +82,18 @@ def phones(text: str) -> list[Span]:
 
 FINDERS = dict(zip(KINDS, (emails, ips, cards, phones), strict=True))
 
-#: Look-alikes of ASCII characters: the full-width forms by rule, and Cyrillic and Greek letters of the same shape.
-LOOKALIKES = {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)} | dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅαονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ．＠", "aeopcyxijsdhqwABEKMHOPCTXIJSaovpABEZHIKMNOPTYX.@", strict=True))
+def _shapes() -> dict[str, str]:
+    """The full-width forms and the mathematical alphabets of ASCII characters, by their decompositions."""
+    out = {}
+    for c in (*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800)):
+        kind, _, code = unicodedata.decomposition(chr(c)).partition(" ")
+        if kind in ("<wide>", "<font>") and " " not in code and int(code, 16) < 128:
+            out[chr(c)] = chr(int(code, 16))
+    return out
+
+
+#: Look-alikes of ASCII characters: their other forms by rule, and Cyrillic and Greek letters of the same shape.
+LOOKALIKES = _shapes() | dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТХІЈЅαονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ．＠", "aeopcyxijsdhqwABEKMHOPCTXIJSaovpABEZHIKMNOPTYX.@", strict=True))
 INVISIBLE = "​‌‍⁠﻿­"
 _STRANGE = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
 
@@ -101,9 +112,11 @@ _RUN = rf"(?:[0-9+]|\b(?:{_WORD})\b)(?:[\s,.()-]*+(?:[0-9+]|\b(?:{_WORD})\b))++"
 _NUMBERS, _NUMBERS_ANY_CASE = re.compile(_RUN), re.compile(_RUN, re.IGNORECASE)
 _BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.IGNORECASE)
 _DOT = re.compile(r"\sdot\s", re.IGNORECASE)
+#: White space is only tried from where it begins, so that long stretches of it cost no more than their length.
+_SPACE = r"(?:(?<!\s)\s++)"
 _RULES = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*|\s+dot\s+)|(?P<bare>\s+at\s+)"
-    rf"|(?P<plus>\bplus\b\s*)|(?P<times>\b(?:{'|'.join(_TIMES)})\b\s+(?=(?:{'|'.join(_DIGITS)})\b))|(?P<digit>\b(?:{'|'.join(sorted(_DIGITS, key=len, reverse=True))})\b)|(?P<gap>(?<=\w)\s*[,\s]\s*(?=(?:{_WORD}|[0-9])\b))",
+    rf"(?P<at>{_SPACE}?[\[({{<]\s*+(?:at|@)\s*+[\])}}>]\s*+)|(?P<dot>{_SPACE}?[\[({{<]\s*+(?:dot|\.)\s*+[\])}}>]\s*+|{_SPACE}dot\s++)|(?P<bare>{_SPACE}at\s++)"
+    rf"|(?P<plus>\bplus\b\s*+)|(?P<times>\b(?:{'|'.join(_TIMES)})\b\s++(?=(?:{'|'.join(_DIGITS)})\b))|(?P<digit>\b(?:{'|'.join(sorted(_DIGITS, key=len, reverse=True))})\b)|(?P<gap>(?<=\w)(?:\s*+,\s*+|\s++)(?=(?:{_WORD}|[0-9])\b))",
     re.IGNORECASE,
 )
 
@@ -164,24 +177,54 @@ class Normal:
             yield self.begin[a], self.end[b - 1]
 
 
+_ORDINARY = rf"(?!(?:{_WORD}|at|dot)\s)[A-Za-z]+(?=\s)"
+#: Where no rule and no identifier can pass: between two ordinary words, or at a letter of a script without look-alikes.
+_BARRIER = re.compile(rf"(?<=\s)(?P<left>{_ORDINARY})\s+(?P<right>{_ORDINARY})|[\u3040-\u30FF\u4E00-\u9FFF\uAC00-\uD7A3]", re.IGNORECASE)
+
+
+def _edge_before(text: str, at: int, least: int) -> int:
+    """Where the last barrier before `at` leaves off, or `least`."""
+    reach = REACH
+    while True:
+        first, found = max(least, at - reach), None
+        for found in _BARRIER.finditer(text, max(0, first - 1), at):
+            pass
+        if found:
+            return found.start("right") if found["right"] else found.start()
+        if first == least:
+            return least
+        reach *= 2
+
+
+def _edge_after(text: str, at: int) -> int:
+    found = _BARRIER.search(text, at)
+    if not found:
+        return len(text)
+    return found.end("left") if found["left"] else found.end()
+
+
 def windows(text: str) -> list[Span]:
-    """Stretches of the text around signs of a disguise."""
+    """Stretches of the text around signs of a disguise, each up to the barriers next to it: what the transducers
+    find in them is what they find in the whole text."""
     signs = [] if text.isascii() else [m.span() for m in _STRANGE.finditer(text)]
     signs += [m.span() for m in _BRACKETED.finditer(text)]
     low = text.lower()
-    if " dot" in low or "\ndot" in low or "\tdot" in low:
+    if "dot" in low:
         signs += [m.span() for m in _DOT.finditer(text)]
     cased = len(low) != len(text) or not text.isascii() and ("ſ" in text or "ı" in text)
     found = _NUMBERS_ANY_CASE.finditer(text) if cased else _NUMBERS.finditer(low)
     signs += [m.span() for m in found if m[0].lower() != m[0].upper()]
-    out: list[list[int]] = []
+    out: list[Span] = []
     for a, b in sorted(signs):
-        a, b = max(0, a - AROUND), min(len(text), b + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+        done = out[-1][1] if out else 0
+        if b <= done:
+            continue
+        last = _edge_after(text, b)
+        if a < done:  # a sign that begins in a window and ends beyond it
+            out[-1] = (out[-1][0], last)
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append((_edge_before(text, a, done), last))
+    return out
 
 
 def find_all(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -220,8 +263,10 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row for each row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     The counts and spans are of all spans, base and added; base_sha256 is of the base spans alone. Offsets are
-    code points, end exclusive. A null text is empty and has no spans. Spans of different kinds may overlap,
-    as base spans of two kinds may. Rows may repeat, and other columns are not read.
+    code points, end exclusive. A null text is empty and has no spans; a text of any length is read whole, in one
+    task. Spans of different kinds may overlap, as base spans of two kinds may; of added spans of one kind that
+    touch a base span of it the base span stays. Rows may repeat, each has its result; other columns, whatever
+    their names, are not read. An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
