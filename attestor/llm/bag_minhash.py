@@ -1,14 +1,15 @@
 """Near-duplicate detection with BagMinHash over bags of five-word shingles.
 
 A shingle that occurs w times in a text owns the weight levels 1 to w. The levels are cut into the dyadic
-ranges (0, 1], (1, 2], (2, 4], ...; each range of a shingle runs a Poisson process, seeded by both alone,
-whose rate is the range's length. A point falls on one level, counts where the text owns that level, and
-bids for one register of the signature; a register keeps its earliest point. Points come in order, so a
-process stops at the text's latest register. Two signatures agree in a register with probability equal to
-the texts' weighted Jaccard similarity.
+ranges (0, 1], (1, 2], (2, 4], ...; each is the root of a hierarchy of Poisson processes, seeded by shingle and
+range alone, whose rate is the range's length. A process of several levels passes its first point on to one of
+its halves and starts the other half's process after it; halves beyond the text's weight are dropped, and a
+single level's process bids with its points for registers of the signature, which keep their earliest. Processes
+wait until their text's horizon reaches them and end at its latest register, so a weight costs its logarithm.
+Two signatures agree in a register with probability equal to the texts' weighted Jaccard similarity.
 
 Registers are banded. Texts in a bucket are compared exactly with the bucket's leader, and those that are
-not near it with all others that share this leader, in blocks.
+not near it with all others that share this leader and may be near them by the triangle inequality, in blocks.
 """
 
 from __future__ import annotations
@@ -23,52 +24,98 @@ from pyspark.sql import functions as F
 
 from attestor.llm.components import components
 from attestor.llm.shingles import Powers, mix, shingle_bags
-from attestor.llm.tables import by_size, settle
+from attestor.llm.tables import by_size, content, discard, fitting, keep_rows, settle
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 25, 2e-6.
 BANDS, ROWS = 25, 4
 BATCH_BYTES = 1 << 20
 POINTS = 200_000
-#: Texts in a block of a group whose leader is not near all of them; columns of a product of rows.
-BLOCK, COLUMNS = 256, 2048
+#: Texts in a block of a leader's group; columns of a product of rows.
+BLOCK, COLUMNS = 128, 2048
+
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _draw(seed: np.ndarray, number: np.ndarray) -> np.ndarray:
+    return mix(seed + (number + np.uint64(1)) * _GOLDEN)
+
+
+def _gap(bits: np.ndarray) -> np.ndarray:
+    """An exponential variate of rate 1."""
+    return -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+
+
+class Processes:
+    """Poisson processes: the text, its weight of the shingle, the range (low, high] of levels, the seed, the time of the
+    next point and that point's number."""
+
+    def __init__(self, *columns: np.ndarray):
+        self.columns = columns
+        self.text, self.weight, self.low, self.high, self.seed, self.at, self.n = columns
+
+    def where(self, chosen: np.ndarray) -> Processes:
+        return Processes(*(x[chosen] for x in self.columns))
+
+    @staticmethod
+    def joined(parts: list[Processes]) -> Processes:
+        return Processes(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
+
+    @staticmethod
+    def roots(text: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> Processes:
+        parts, k, top = [], 0, int(count.max(initial=0))
+        while k == 0 or 1 << (k - 1) < top:
+            low, high = (1 << k - 1 if k else 0), 1 << k
+            has = np.flatnonzero(count > low)
+            seed = mix(shingle[has] + np.uint64((k * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & (2**64 - 1)))
+            first = _gap(_draw(seed, np.zeros(len(has), np.uint64))) / (high - low)
+            parts.append(Processes(text[has], count[has], np.full(len(has), low), np.full(len(has), high), seed, first, np.zeros(len(has), np.uint64)))
+            k += 1
+        return Processes.joined(parts)
+
+    def halves(self) -> Processes:
+        """The processes of both halves, as far as the text's weight reaches into them."""
+        middle = (self.low + self.high) // 2
+        below = (_draw(self.seed, np.full(len(self.seed), 1 << 62, np.uint64)) & np.uint64(1)) == 0
+        parts = []
+        for low, high, salt, inherits in ((self.low, middle, 0x8CB92BA72F3D8DD7, below), (middle, self.high, 0x2127599BF4325C37, ~below)):
+            seed = mix(self.seed ^ np.uint64(salt))
+            number = np.zeros(len(seed), np.uint64)
+            at = np.where(inherits, self.at, self.at + _gap(_draw(seed, number)) / (high - low))
+            parts.append(Processes(self.text, self.weight, low, high, seed, at, number).where(self.weight > low))
+        return Processes.joined(parts)
 
 
 def signatures(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: int, registers: int = BANDS * ROWS) -> np.ndarray:
     """Of each text, the identity of the earliest point in each register."""
     best = np.full(texts * registers, np.inf)
     winner = np.zeros(texts * registers, np.uint64)
-    own, seed, low, high, weight = [], [], [], [], []
-    top, k = int(count.max(initial=0)), 0
-    while k == 0 or 1 << (k - 1) < top:
-        a, b = (1 << k - 1 if k else 0), 1 << k
-        has = np.flatnonzero(count > a)
-        own.append(text[has])
-        seed.append(mix(shingle[has] + np.uint64((k * 0xA24BAED4963EE407 + 0x9FB21C651E98DF25) & (2**64 - 1))))
-        low.append(np.full(len(has), a))
-        high.append(np.full(len(has), b))
-        weight.append(count[has])
-        k += 1
-    own, seed, low, high, weight = (np.concatenate(x) for x in (own, seed, low, high, weight))
-    at, n = np.zeros(len(own)), np.zeros(len(own), np.uint64)
-    golden = np.uint64(0x9E3779B97F4A7C15)
+    # about as long as the latest register takes
+    horizon = 2 * registers * (np.log(registers) + 1) / np.maximum(1, np.bincount(text, count, texts))
     with np.errstate(over="ignore"):
-        while len(own):
-            points = max(1, min(64, POINTS // len(own)))
-            number = (n[:, None] + np.arange(points, dtype=np.uint64)) * np.uint64(2)
-            first, second = mix(seed[:, None] + (number + np.uint64(1)) * golden), mix(seed[:, None] + (number + np.uint64(2)) * golden)
-            gaps = -np.log(((first >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / (high - low)[:, None]
-            when = at[:, None] + np.cumsum(gaps, 1)
-            level = low[:, None] + 1 + ((second & np.uint64(0xFFFFFFFF)) * (high - low)[:, None].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            register = own[:, None] * registers + ((second >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
-            counts = level <= weight[:, None]
-            register, early, first = register[counts], when[counts], first[counts]
-            np.minimum.at(best, register, early)
-            won = best[register] == early
-            winner[register[won]] = first[won]
-            at, n = when[:, -1], n + np.uint64(points)
-            going = at < best.reshape(texts, registers).max(1)[own]
-            own, seed, low, high, weight, at, n = (x[going] for x in (own, seed, low, high, weight, at, n))
+        queue = Processes.roots(text, shingle, count)
+        while len(queue.text):
+            queue = queue.where(queue.at < best.reshape(texts, registers).max(1)[queue.text])
+            ready = queue.at <= horizon[queue.text]
+            if not ready.any():
+                horizon[queue.text] = 2 * horizon[queue.text]
+                continue
+            single = queue.high - queue.low == 1
+            p = queue.where(ready & single)
+            parts = [queue.where(~ready), queue.where(ready & ~single).halves()]
+            if len(p.text):
+                points = max(1, min(64, POINTS // len(p.text)))
+                number = p.n[:, None] + np.arange(points + 1, dtype=np.uint64)
+                bits = _draw(p.seed[:, None], number)
+                when = p.at[:, None] + np.concatenate((np.zeros((len(p.text), 1)), np.cumsum(_gap(bits[:, 1:]), 1)), 1)
+                early, bits = when[:, :-1].ravel(), mix(bits[:, :-1] ^ _GOLDEN).ravel()
+                register = np.repeat(p.text * registers, points) + ((bits >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
+                np.minimum.at(best, register, early)
+                won = best[register] == early
+                winner[register[won]] = bits[won]
+                parts.append(Processes(p.text, p.weight, p.low, p.high, p.seed, when[:, -1], p.n + np.uint64(points)))
+            queue = Processes.joined(parts)
     return winner.reshape(texts, registers)
 
 
@@ -99,7 +146,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(signatures(of, shingle, count, len(texts)))
         some = np.bincount(of, minlength=len(texts)) > 0
         bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(some * BANDS))), pa.int32()), pa.array(keys[some].ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_digests(of, shingle, count, texts)), bands], ["doc_id", "digest", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), batch.column("row"), pa.array(_digests(of, shingle, count, texts)), bands], ["doc_id", "content", "row", "digest", "bands"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -110,15 +157,24 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares each member with the leader row that comes before it."""
     powers = Powers()
-    for batch in by_size(batches, "text_b", BATCH_BYTES):
-        texts = batch.column("text_a").to_pylist() + batch.column("text_b").to_pylist()
+    first: tuple[np.ndarray, np.ndarray] | None = None
+    for batch in by_size(batches, "text", BATCH_BYTES):
         with np.errstate(over="ignore"):
-            of, shingle, count = shingle_bags(texts, WORDS, powers)
-        cut = np.searchsorted(of, np.arange(len(texts) + 1))
-        bags = [(shingle[x:y], count[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
-        n = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([similarity(bags[i], bags[n + i]) for i in range(n)], pa.float64())], ["a", "b", "similarity"])
+            of, shingle, count = shingle_bags(batch.column("text").to_pylist(), WORDS, powers)
+        cut = np.searchsorted(of, np.arange(batch.num_rows + 1))
+        leaders, nodes, found, weights = [], [], [], []
+        for i, (leader, member, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("leader", "member", "id")), strict=True)):
+            bag = shingle[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]
+            if not member:
+                first = bag
+            else:
+                leaders.append(leader)
+                nodes.append(node)
+                found.append(float(similarity(first, bag)))
+                weights.append(int(bag[1].sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(leaders, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.float64()), pa.array(weights, pa.int64())], ["leader", "node", "similarity", "weight"])
 
 
 def _links_of_block(threshold: float):
@@ -172,55 +228,93 @@ def _links_of_block(threshold: float):
     return run
 
 
+def _meetings(scored: DataFrame, threshold: float) -> DataFrame:
+    """(leader, low, high, node, open, block): which members of a leader's group (leader, node, similarity, weight) meet.
+
+    Only members that are not near the leader, the open ones, still need others. The distance 1 - similarity obeys
+    the triangle inequality, so a member much nearer to the leader than any open one is near none of these, nor is
+    one of a very different weight. Blocks of open members meet each other and those of the remaining members, which
+    do not meet among themselves: beside one block of open members, rows grow in step with the group.
+    """
+    members = scored.withColumn("open", F.col("similarity") < threshold)
+    of_open = lambda value: F.when(F.col("open"), F.col(value))
+    reach = members.groupBy("leader").agg(F.max(of_open("similarity")).alias("nearest"), F.min(of_open("weight")).alias("lightest"), F.max(of_open("weight")).alias("heaviest")).where("nearest IS NOT NULL")
+    slack = 1e-9
+    left = members.join(reach, "leader").where(F.col("open") | ((F.col("similarity") <= F.col("nearest") + (1 - threshold) + slack) & F.col("weight").between(F.col("lightest") * threshold - slack, F.col("heaviest") / threshold + slack)))
+    sizes = left.groupBy("leader").agg(F.count_if("open").alias("opened"), F.count_if(~F.col("open")).alias("others")).where("opened + others > 1")
+    blocks = sizes.select("leader", F.ceil(F.col("opened") / BLOCK).alias("a"), F.ceil(F.col("others") / BLOCK).alias("b"))
+    dealt = left.join(blocks, "leader").withColumn("block", F.when(F.col("open"), F.pmod(F.xxhash64("node"), F.col("a"))).otherwise(F.col("a") + F.pmod(F.xxhash64("node"), F.greatest("b", F.lit(1)))))
+    last = F.when(F.col("open"), F.col("a") + F.col("b")).otherwise(F.col("a")).cast("int") - 1
+    one = F.transform(F.sequence(F.lit(0), last), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+    return dealt.withColumn("meeting", F.explode(one)).select("leader", "meeting.low", "meeting.high", "node", "open", "block")
+
+
 def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) that connect all texts near each other that share a bucket, from buckets (key, n, node).
 
     The leader of a bucket is the text that shares most buckets with others, which stands in the middle of
     its kind. Texts that share a bucket share its leader, so a leader's group has all their pairs. Each text
-    is compared with its leaders; those that are not near one are compared with the rest of its group, in
-    blocks of BLOCK texts, so that no task holds a group and no pairs are listed.
+    is compared with its leaders, of whose text each block of BLOCK members gets one copy; those that are not
+    near one meet others of its group by _meetings, so that no task holds a group and no pairs are listed.
     """
     popular = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
     ranked = buckets.join(popular, "node")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
     groups = settle(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "groups", narrow=True)
-    sides = groups.select(F.explode(F.array(F.struct(F.col("leader").alias("id"), "leader", "node"), F.struct(F.col("node").alias("id"), "leader", "node"))).alias("s")).select("s.*")
-    pairs = texts.join(sides, "id").groupBy("leader", "node").agg(F.max(F.when(F.col("id") == F.col("leader"), F.col("text"))).alias("text_a"), F.max(F.when(F.col("id") == F.col("node"), F.col("text"))).alias("text_b"))
-    scored = settle(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "text_a", "text_b").mapInArrow(_compare, "a long, b long, similarity double"), "scored", narrow=True)
-    near = scored.where(F.col("similarity") >= threshold).select("a", "b")
-
-    members = scored.select(F.col("a").alias("leader"), F.col("b").alias("node"), (F.col("similarity") < threshold).alias("open"))
-    sizes = members.groupBy("leader").agg(F.count("*").alias("size"), F.count_if("open").alias("left")).where("left > 0 AND size > 1").select("leader", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = members.join(sizes, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    one = F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
-    met = dealt.withColumn("meeting", F.explode(one)).select("leader", "meeting.low", "meeting.high", "node", "open", "block")
+    parts = groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    dealt = groups.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("member"), F.col("node").alias("id"))
+    heads = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("leader").alias("id"))
+    sided = dealt.unionByName(heads).join(texts, "id").repartition("leader", "part").sortWithinPartitions("leader", "part", "member")
+    scored = settle(sided.select("leader", "member", "id", "text").mapInArrow(_compare, "leader long, node long, similarity double, weight long"), "scored", narrow=True)
+    near = scored.where(F.col("similarity") >= threshold).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    met = _meetings(scored, threshold)
     inner = met.join(texts.withColumnRenamed("id", "node"), "node").groupBy("leader", "low", "high").applyInArrow(_links_of_block(threshold), "a long, b long")
     return near.unionByName(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, kept.
-
-    class_id is the smallest id among the documents that chains of near duplicates connect; that document is
-    kept. Texts of equal bags are copies; a text of one to four words is a single shingle, and texts without words are copies only of
-    themselves. A null text is empty. Rows with null ids are kept, with null class_id, where no row of an
-    equal bag has an id. Rows that repeat an id share a decision; other columns are not read.
-    """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = settle(source.mapInArrow(_sign, "doc_id long, digest string, bands array<long>"), "signed")
-    firsts = settle(signed.groupBy("digest").agg(F.min("doc_id").alias("node")), "firsts", narrow=True)
-    signatures_of = signed.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bands = settle(signatures_of.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "bands", narrow=True)
+def _decide(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """(doc_id, content, class_id, kept) of each row; of each class one row is kept."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), content(F.col(text_col)).alias("content"), F.col(text_col).cast("binary").alias("text"))
+    source = named.select("*", F.monotonically_increasing_id().alias("row"))
+    signed = settle(source.mapInArrow(_sign, "doc_id long, content string, row long, digest string, bands array<long>"), "signed")
+    # a node is a bag, numbered once the table is written
+    bags = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "content")).alias("first"), F.first("bands").alias("bands"))
+    firsts = settle(bags.select("digest", "first", "bands", F.monotonically_increasing_id().alias("node")), "firsts")
+    bands = settle(firsts.select(F.explode("bands").alias("key"), "node"), "bands", narrow=True)
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets", narrow=True)
-    nodes = buckets.select(F.col("node").alias("id")).distinct()
-    # by shuffle at every size, as many candidates need it: the plan, and what it takes, then grow in step with the input
-    texts = settle(source.withColumnRenamed("doc_id", "id").join(nodes.hint("merge"), "id", "left_semi"), "texts")
+    discard(bands)
+    nodes = settle(firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), F.col("first.doc_id").alias("of_id"), F.col("first.content").alias("of_content")), "nodes", narrow=True)
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("content") == F.col("of_content"))
+    # rows that repeat an id and a text have one text: any of them will do
+    found = named.join(fitting(nodes), same).groupBy("id").agg(F.first("text").alias("text"))
+    texts = settle(found, "texts")
     links = settle(_links(buckets, texts, threshold), "links", narrow=True)
+    discard(texts)
     labels = components(links)
-    classes = firsts.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
-    out = signed.select("doc_id", "digest").join(classes, "digest")
-    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    labelled = firsts.join(labels, "node").select("digest", "label", "first")
+    heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
+    classes = firsts.select("digest", "first").join(labelled.join(heads, "label").select("digest", "head"), "digest", "left").select("digest", F.coalesce("head", "first").alias("head"))
+    out = signed.select("doc_id", "content", "row", "digest").join(classes, "digest")
+    return out.select("doc_id", "content", F.col("head.doc_id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, kept.
+
+    A class is what chains of near duplicates connect; class_id is its smallest id, and of its rows that of the
+    smallest id is kept, one of them where several tie. Texts of equal bags are copies; a text of one to four words
+    is a single shingle, and texts without words are copies only of themselves. A null text is empty; a text of any
+    length is read whole. Rows of one id may have different texts: each is compared. Null ids come last; a class
+    without an id has a null class_id. Other columns, whatever their names, are not read; an empty table gives an
+    empty result.
+    """
+    return _decide(docs, id_col, text_col, threshold).select("doc_id", "class_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one for each class, all columns as they are."""
+    return keep_rows(docs, _decide(docs, id_col, text_col, threshold), id_col, text_col)
 
 
 #: All pairs that share a shingle, and the closure of their links: for small tables only.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.tables import settle
+from attestor.llm.tables import discard, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,13 +19,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         at_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         at_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        low = F.least("la", "lb")
         open_edges = edges.join(at_a, "a").join(at_b, "b").where("la <> lb")
-        found = open_edges.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), low.alias("low")).groupBy("node").agg(F.min("low").alias("low"))
+        found = open_edges.select(F.explode(F.array("a", "b", "la", "lb")).alias("node"), F.least("la", "lb").alias("low")).groupBy("node").agg(F.min("low").alias("low"))
         hooked = settle(labels.join(found, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("low", "label")).alias("label")), "hooked", narrow=True)
         over = hooked.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        labels = settle(hooked.join(over, "label", "left").select("node", "old", F.coalesce("root", "label").alias("label")), "labels", narrow=True)
-        changed = not labels.where("old <> label").isEmpty()
-        labels = labels.select("node", "label")
-        if not changed:
-            return labels
+        jumped = settle(hooked.join(over, "label", "left").select("node", "old", F.coalesce("root", "label").alias("label")), "labels", narrow=True)
+        discard(labels, hooked)
+        labels = jumped
+        if labels.where("old <> label").isEmpty():
+            discard(edges)
+            return labels.select("node", "label")

@@ -2,8 +2,8 @@
 
 A Misra-Gries summary of each partition's digests, summed over partitions, names every digest that more
 than 2/(k+1) of the rows share. Their counts are then taken exactly; these winners, at most k+1 of them,
-are broadcast and decide their rows on the map side. The rows of all other digests are shuffled by digest;
-no such group holds more than 2/(k+1) of the rows.
+are broadcast and decide their rows on the map side. All other digests are counted with partial aggregation
+and joined to their rows by shuffle; no such group holds more than 2/(k+1) of the rows.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.tables import settle
+from attestor.llm.tables import content, keep_rows, settle
 
 COUNTERS = 1023
 
@@ -54,22 +54,34 @@ def heavy_hitters(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return parts.groupBy("digest").agg(F.sum("n").alias("n")).where(F.col("n") > rows / (counters + 1))
 
 
+def _decide(docs: DataFrame, id_col: str, text_col: str, counters: int) -> DataFrame:
+    """(doc_id, content, keep_id, group_size, kept, digest) of each row; of equal texts one row is kept."""
+    digests = settle(docs.select(F.col(id_col).alias("doc_id"), content(F.col(text_col)).alias("content"), F.sha2(normalised(F.col(text_col)), 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "digests")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("first")
+    likely = digests.sparkSession.createDataFrame([(r["digest"],) for r in heavy_hitters(digests, counters).collect()], "digest string")
+    verified = digests.join(F.broadcast(likely), "digest").groupBy("digest").agg(first, F.count("*").alias("group_size"))
+    winners = F.broadcast(digests.sparkSession.createDataFrame(verified.collect(), verified.schema))
+    hot = digests.join(winners, "digest")
+    rest = digests.join(winners, "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(first, F.count("*").alias("group_size"))
+    both = hot.unionByName(rest.join(groups, "digest"))
+    return both.select("doc_id", "content", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "digest")
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Texts are equal when identical after normalised(); null is an empty text. Of equal texts the row with
-    the smallest id stays; null ids come last, and where a group has only null ids, keep_id is null and its
-    rows stay. Rows that repeat both id and text are one document: they share its decision. Other columns of
+    Texts are equal when identical after normalised(); null is an empty text, and a text of any length is read
+    whole. Of equal texts the row with the smallest id stays. Null ids come last; where a group has only null
+    ids, keep_id is null. Of rows that tie, as those that repeat an id and a text, one stays. Other columns of
     docs are not read, whatever their names. An empty table gives an empty result.
     """
-    digests = settle(docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(F.col(text_col)), 256).alias("digest")), "digests")
-    likely = digests.sparkSession.createDataFrame([(r["digest"],) for r in heavy_hitters(digests, counters).collect()], "digest string")
-    verified = digests.join(F.broadcast(likely), "digest").groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    winners = F.broadcast(digests.sparkSession.createDataFrame(verified.collect(), verified.schema))
-    hot = digests.join(winners, "digest").select("doc_id", "keep_id", "group_size", "digest")
-    alike = Window.partitionBy("digest")
-    rest = digests.join(winners, "digest", "left_anti").select("doc_id", F.min("doc_id").over(alike).alias("keep_id"), F.count("*").over(alike).alias("group_size"), "digest")
-    return hot.unionByName(rest).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return _decide(docs, id_col, text_col, counters).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
+    """The rows of docs that exact_dedup keeps, one for each text, all columns as they are."""
+    return keep_rows(docs, _decide(docs, id_col, text_col, counters), id_col, text_col)
 
 
 ORACLE = r"""

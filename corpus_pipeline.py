@@ -19,16 +19,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id; rows are told apart by id and digest."""
-    gone = exact_dedup.exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_digest")).distinct()
-    digest = F.sha2(exact_dedup.normalised(F.col("text")), 256)
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
+    """Of equal texts, one row: that of the smallest id. A null text is empty and equals an empty one; null ids come last."""
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates, the document with the smallest id; rows without an id stay."""
-    gone = bag_minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of near duplicates, one row: that of the smallest id. Null ids come last; texts without words are
+    near only what equals them."""
+    return bag_minhash.drop_near_duplicates(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from attestor.llm.bag_minhash import near_duplicates, signatures
+from attestor.llm.bag_minhash import _decide, _meetings, drop_near_duplicates, near_duplicates, signatures
 from attestor.llm.components import components
 from attestor.llm.decontaminate import words
+from attestor.llm.tables import keep_rows
 from attestor.llm.shingles import Powers, mix, shingle_bags
 
 
@@ -16,21 +17,33 @@ def bag(text):
 
 
 def classes(rows):
-    root = {i: i for i, _ in rows}
+    """(doc_id, class_id, kept) of each row, by comparing all pairs of rows."""
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    bags = [(i, t or "", bag(t)) for i, t in rows]
-    for x, (i, s, a) in enumerate(bags):
-        for j, t, b in bags[:x]:
+    bags = [(t or "", bag(t)) for _, t in rows]
+    for x, (s, a) in enumerate(bags):
+        for y, (t, b) in enumerate(bags[:x]):
             both = sum((a & b).values())
             if (not a and not b and s == t) or (both and both / (sum(a.values()) + sum(b.values()) - both) >= 0.8):
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-    return {i: find(i) for i in root}
+                root[find(x)] = find(y)
+    groups = {}
+    for x in range(len(rows)):
+        groups.setdefault(find(x), []).append(x)
+    out = []
+    for members in groups.values():
+        first = min(members, key=lambda x: (rows[x][0] is None, rows[x][0] or 0, x))
+        out += [(rows[x][0], rows[first][0], x == first) for x in members]
+    return sorted(out, key=repr)
+
+
+def found(spark, rows):
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, node int, key string")
+    return sorted((tuple(r) for r in near_duplicates(docs).collect()), key=repr)
 
 
 def edited(text, rng, n):
@@ -57,12 +70,31 @@ def corpus():
 def test_classes_agree_with_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr("attestor.llm.bag_minhash.BLOCK", block)
     rows = corpus()
-    want = classes([r for k, r in enumerate(rows) if r[0] not in {x for x, _ in rows[:k]}])
-    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, node int, key string")
-    got = near_duplicates(docs).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: r["class_id"] for r in got} == want
-    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+    assert found(spark, rows) == classes(rows)
+
+
+def test_rows_of_one_id_and_repeated_rows(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randint(0, 3000)}" for _ in range(n))
+    a, b = prose(80), prose(90)
+    rows = [(1, a), (5, a + " and more"), (5, b), (7, b + " too"), (1, a), (5, b), (None, a), (None, prose(50)), (None, None), (3, ""), (3, "")]
+    assert found(spark, rows) == classes(rows)
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, key_id int")
+    kept = drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted((i is None, i or 0, t or "") for i, t in [(1, a), (5, b), (None, rows[7][1]), (3, "")])
+    by_shuffle = keep_rows(docs, _decide(docs, "doc_id", "text", 0.8), "doc_id", "text", small=0)
+    assert sorted(map(repr, by_shuffle.select("doc_id", "text").collect())) == sorted(map(repr, kept.select("doc_id", "text").collect()))
+
+
+def test_meetings_grow_in_step_with_the_group(spark):
+    sizes = []
+    for n in (1000, 4000):
+        near = [(1, 10 + k, 0.8 + 0.19 * k / n, 100) for k in range(n)]
+        sizes.append(_meetings(spark.createDataFrame([*near, (1, 5, 0.79, 100)], "leader long, node long, similarity double, weight long"), 0.8).count())
+    assert 4000 <= sizes[1] <= 4.5 * sizes[0]
+    far = [(1, 10 + k, 0.99, 100) for k in range(1000)] + [(1, 5, 0.5, 100)]
+    assert _meetings(spark.createDataFrame(far, "leader long, node long, similarity double, weight long"), 0.8).count() == 0
 
 
 def test_null_ids_and_no_rows(spark):

@@ -1,19 +1,19 @@
 import hashlib
 import re
 
-from attestor.llm.exact_dedup import exact_dedup, summarise
+from attestor.llm.exact_dedup import _decide, drop_copies, exact_dedup, summarise
+from attestor.llm.tables import keep_rows
 
 
 def brute(rows):
     texts = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows]
     groups = {}
-    for i, t in texts:
-        groups.setdefault(t, []).append(i)
+    for x, (i, t) in enumerate(texts):
+        groups.setdefault(t, []).append((i is None, i or 0, x))
     out = []
-    for i, t in texts:
-        ids = [x for x in groups[t] if x is not None]
-        keep = min(ids) if ids else None
-        out.append((i, keep, len(groups[t]), i == keep, hashlib.sha256(t.encode()).hexdigest()))
+    for x, (i, t) in enumerate(texts):
+        null, keep, first = min(groups[t])
+        out.append((i, None if null else keep, len(groups[t]), x == first, hashlib.sha256(t.encode()).hexdigest()))
     return sorted(out, key=repr)
 
 
@@ -44,3 +44,13 @@ def test_misra_gries_keeps_every_frequent_digest():
     assert len(counts) <= 2
     assert 0 < counts["a"] <= stream.count("a")
     assert stream.count("a") - counts["a"] <= len(stream) / 3
+
+
+def test_one_row_of_each_text_is_left(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "b"), (None, "c "), (None, "c "), (4, None), (2, ""), (2, ""), (5, "a")]
+    docs = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, key_id int, of_content string")
+    for small in (100, 0):
+        left = keep_rows(docs, _decide(docs, "doc_id", "text", 7), "doc_id", "text", small)
+        assert left.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(1, "a"), (1, "b"), (None, "c "), (2, "")], key=repr)
+    assert drop_copies(docs.limit(0)).collect() == []
