@@ -2,9 +2,9 @@
 
 A small network learns from trusted positives and unlabelled texts alone. It minimises the non-negative
 unbiased risk  prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)]),  where the prior, the
-share of positives among unlabelled texts, is estimated as their share among the labelled rows that may be
-learnt from, negatives serving for nothing else, or from the scores of a model on unseen rows, if these show
-fewer. With the logistic loss the output is the probability of label 1.
+share of positives among unlabelled texts, is estimated from the scores that a model gives trusted positives and
+unlabelled texts it has not seen; labelled negatives serve for nothing. With the logistic loss the output is the
+probability of label 1.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from attestor.llm.tables import by_size
 #: Bounds of the sample that the model is fitted on.
 POSITIVES, UNLABELLED = 12_000, 24_000
 THRESHOLD = 0.3
+#: The prior that the first model of the scores is fitted with.
+FIRST_PRIOR = 0.5
 FOLDS = 5
 HIDDEN, STEPS, BATCH, RATE, DECAY = 32, 1500, 512, 3e-3, 1e-4
 BATCH_BYTES = 4 << 20
@@ -121,16 +123,19 @@ def prior_from_scores(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(ratio[np.argmin(bound)])
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, labelled_share: float) -> Model:
-    """A model with a cautious prior: the lower of what labels suggest and of what scores show, less two standard errors.
+def learn(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """A model with a cautious prior: what scores show, less two standard errors.
 
-    The scores are those of a model that learnt from the other half of the rows. A prior that is too high lets
-    negatives pass at no risk, one that is a little too low only narrows the margin.
+    The scores are those of a model that learnt from the other half of the rows, first with FIRST_PRIOR, then with the
+    prior so found. A prior that is too high lets negatives pass at no risk, one that is a little too low only narrows
+    the margin.
     """
     if min(len(positive), len(unlabelled)) < 20:
-        return fit(positive, unlabelled, labelled_share)
-    half = fit(positive[::2], unlabelled[::2], labelled_share)
-    prior = min(labelled_share, prior_from_scores(half.score(positive[1::2]), half.score(unlabelled[1::2])))
+        return fit(positive, unlabelled, FIRST_PRIOR)
+    prior = FIRST_PRIOR
+    for _ in range(2):
+        half = fit(positive[::2], unlabelled[::2], min(0.99, max(0.01, prior)))
+        prior = prior_from_scores(half.score(positive[1::2]), half.score(unlabelled[1::2]))
     prior -= 2 * math.sqrt(max(0.0, prior * (1 - prior)) / len(unlabelled[1::2]))
     return fit(positive, unlabelled, min(0.99, max(0.01, prior)))
 
@@ -142,36 +147,36 @@ def held_out(doc_id: Column) -> Column:
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_size(batches, "text", BATCH_BYTES):
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(features(batch.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], ["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(features(batch.column("text").to_pylist()).tolist(), pa.list_(pa.float64()))], ["doc_id", "positive", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from the texts of at most `positives` trusted rows and `unlabelled` others, each chosen by least hash of
     the id; None without trusted positives or unlabelled rows."""
-    usable = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    n, good = usable.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
-    if not good:
-        return None
-    prior = min(0.99, max(0.01, good / n))
-    order = F.xxhash64("doc_id", F.lit(7))
-    trusted = usable.where("quality = 1").select("doc_id").distinct().orderBy(order, "doc_id").limit(positives)
+    usable = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1))
+    trusted = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(positives)
     others = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(unlabelled)
     chosen = trusted.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("positive", "text")
-    rows = texts.mapInArrow(_features_of, "positive boolean, x array<double>").toArrow()
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text")
+    # one row for each chosen id, however many rows repeat it
+    rows = texts.mapInArrow(_features_of, "doc_id long, positive boolean, x array<double>").groupBy("doc_id", "positive").agg(F.min("x").alias("x")).toArrow()
+    if not rows.num_rows:
+        return None
     x, positive = np.array(rows.column("x").combine_chunks().flatten().to_numpy()).reshape(rows.num_rows, -1), np.array(rows.column("positive").to_pylist(), bool)
     if not positive.any() or positive.all():
         return None
     order = np.lexsort(x.T)  # the same sums whatever order the rows came in
     x, positive = x[order], positive[order]
-    return learn(x[positive], x[~positive], prior)
+    return learn(x[positive], x[~positive])
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, score, predicted.
 
-    A null text is scored as an empty one. Without a model, because no trusted positive may be learnt from,
-    every score is 0.5. Repeated rows are scored alike, and other columns are not read.
+    A null text is scored as an empty one, a text of any length by figures of all of it. Without a model, because no
+    trusted positive may be learnt from, every score is 0.5. Repeated rows are scored alike; where a document has
+    several labels, one of quality 1 makes it a trusted positive. Rows without an id are held out. Other columns,
+    whatever their names, are not read; an empty table gives an empty result.
     """
     model = model or train(docs.select("doc_id", "text"), labels)
 

@@ -99,6 +99,14 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str,
     return left.drop(a, b)
 
 
+def loaded(parts: list) -> Iterator:
+    """The values of broadcast variables, one after another; of several a worker holds only the one in use."""
+    for p in parts:
+        yield p.value
+        if len(parts) > 1:
+            p.__dict__.pop("_value", None)  # a broadcast variable keeps what it has read
+
+
 def by_size(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose binary or string column has at most `most` bytes, or which are single rows."""
     for batch in batches:

@@ -1,8 +1,8 @@
 """URL filtering by pattern rules that are indexed by their rarest literal token.
 
-Every rule is a regular expression over "host/path" with literal tokens that any URL it matches must hold.
-The rule is filed under the one of them that fewest URLs hold, counted over all URLs. A URL's tokens fetch
-its candidate rules, and only these run their expressions.
+Every rule is a regular expression over "host/path". The tokens that any URL it matches must hold, of the host or
+the path, are read off the expression, and the rule is filed under the one of them that fewest URLs hold, counted
+over all URLs. A URL's tokens fetch its candidate rules, and only these run their expressions.
 """
 
 from __future__ import annotations
@@ -11,35 +11,110 @@ import pickle
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from re import _constants as sre
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.llm.tables import loaded
+
 TOKEN = re.compile(r"[a-z0-9]+")
 #: Pickled bytes of one rule index that is broadcast; more rules than fit are matched in further passes.
 INDEX_BYTES = 32 << 20
 
 
+def _simple(parsed) -> Iterator[str]:
+    """A parsed expression as single characters that it must match in turn, with marks between them: "end" where no token
+    goes on, "maybe" for what may be missing and otherwise ends outside a token, "any" for the rest."""
+    for op, value in parsed:
+        if op is sre.LITERAL:
+            yield from chr(value).lower()
+        elif op is sre.SUBPATTERN and not value[1] and not value[2]:
+            yield from _simple(value[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[1] == 1:
+            inner = list(_simple(value[2]))
+            if value[0] == 1:
+                yield from inner
+            else:
+                yield "maybe" if inner and (inner[-1] == "end" or len(inner[-1]) == 1 and not TOKEN.match(inner[-1])) else "any"
+        elif op is sre.ASSERT and value[0] == 1 and _outside(value[1]) or op is sre.AT and value in (sre.AT_END, sre.AT_END_STRING):
+            yield "end"
+        else:
+            yield "any"
+
+
+def _outside(parsed) -> bool:
+    """Whether all that the expression can begin with, or its match of nothing at the end, ends a token."""
+    for op, value in list(parsed)[:1]:
+        if op is sre.SUBPATTERN:
+            return _outside(value[3])
+        if op is sre.BRANCH:
+            return all(_outside(x) for x in value[1])
+        if op is sre.IN:
+            return all(kind is sre.LITERAL and not TOKEN.match(chr(c).lower()) for kind, c in value)
+        return op is sre.AT and value in (sre.AT_END, sre.AT_END_STRING) or op is sre.LITERAL and not TOKEN.match(chr(value).lower())
+    return False
+
+
+def literal_tokens(pattern: str) -> tuple[str, ...]:
+    """The whole tokens that every URL which the pattern matches, from its start on, must hold."""
+    found: list[str] = []
+    token, after, clean = "", False, True  # clean: a token may begin here
+
+    def end(whole: bool) -> None:
+        nonlocal token
+        if token and after and whole:
+            found.append(token)
+        token = ""
+
+    for x in (*_simple(_parser.parse(pattern)), "any"):
+        if len(x) == 1 and TOKEN.match(x):
+            if not token:
+                after = clean
+            token += x
+            clean = False
+        else:
+            pending = bool(token)
+            end(x not in ("maybe", "any"))
+            clean = clean and not pending if x == "maybe" else x != "any"
+    return tuple(dict.fromkeys(found))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """name is reported; of the rules that fit, the one with the highest rank decides, then the first by name."""
+    """name is reported; of the rules that fit, the one with the highest rank decides, then the last by name."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
     rank: tuple[int, int]
+    tokens: tuple[str, ...] = ()
+
+
+def rule(name: str, verdict: str, pattern: str, rank: tuple[int, int] = (0, 0)) -> Rule:
+    return Rule(name, verdict, pattern, rank, literal_tokens(pattern))
 
 
 def host_rule(verdict: str, host: str, path: str) -> Rule:
-    """Fits host and its subdomains if the URL's path starts with path; longer rules outrank shorter ones and all token rules."""
-    return Rule(f"{host}{path}", verdict, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(TOKEN.findall(host)), (1, len(host) + len(path)))
+    """Fits host and its subdomains if the URL's path starts with path; longer rules outrank shorter ones and all label rules."""
+    return rule(f"{host}{path}", verdict, rf"(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", (1, len(host) + len(path)))
 
 
 def host_label_rule(verdict: str, words: str) -> Rule:
     """Fits hosts that have words, such as cheap-pills, as a whole label."""
-    return Rule(f"label:{words}", verdict, rf"(?:[^/]*\.)?{re.escape(words)}(?=[./]|\Z)", tuple(TOKEN.findall(words)), (0, len(words)))
+    return rule(f"label:{words}", verdict, rf"(?:[^/]*\.)?{re.escape(words)}(?=[./]|\Z)", (0, len(words)))
+
+
+def read_rules(table: DataFrame) -> Iterator[Rule]:
+    """Rules of a table (verdict, host, path, pattern): by pattern, over "host/path", where there is one, else by host and
+    path; rows with neither are passed over. Rows come to the driver one by one, where the index is built in parts."""
+    for r in table.select("verdict", "host", "path", "pattern").toLocalIterator():
+        if r["pattern"] is not None:
+            yield rule(f"pattern:{r['pattern']}", r["verdict"], r["pattern"], (0, len(r["pattern"])))
+        elif r["host"] is not None:
+            yield host_rule(r["verdict"], r["host"], r["path"] or "/")
 
 
 #: The host and path rules of the query's contract.
@@ -74,8 +149,8 @@ def token_counts(urls: DataFrame, tokens: Iterable[str]) -> dict[str, int]:
 def index_rules(rules: Iterable[Rule], counts: dict[str, int]) -> dict[str, list[Rule]]:
     """Rules by their rarest token; a rule without tokens is filed under the empty token, which every URL has."""
     index: dict[str, list[Rule]] = {}
-    for rule in rules:
-        index.setdefault(min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(rule)
+    for r in rules:
+        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
     return index
 
 
@@ -84,12 +159,12 @@ def split_index(index: dict[str, list[Rule]], most: int = INDEX_BYTES) -> list[d
     parts: list[dict[str, list[Rule]]] = [{}]
     size = 0
     for token, rules in index.items():
-        for rule in rules:
-            n = len(pickle.dumps((token, rule)))
+        for r in rules:
+            n = len(pickle.dumps((token, r)))
             if size and size + n > most:
                 parts.append({})
                 size = 0
-            parts[-1].setdefault(token, []).append(rule)
+            parts[-1].setdefault(token, []).append(r)
             size += n
     return parts
 
@@ -98,28 +173,33 @@ def best_rule(host: str, path: str, index: dict[str, list[Rule]], compiled: dict
     url = host + path
     best = None
     for token in {"", *TOKEN.findall(url.lower())}:
-        for rule in index.get(token, ()):
-            if best is not None and (best.rank, best.name) >= (rule.rank, rule.name):
+        for candidate in index.get(token, ()):
+            if best is not None and (best.rank, best.name) >= (candidate.rank, candidate.name):
                 continue
-            if (found := compiled.get(rule.pattern)) is None:
-                found = compiled[rule.pattern] = re.compile(rule.pattern, re.DOTALL)
+            if (found := compiled.get(candidate.pattern)) is None:
+                found = compiled[candidate.pattern] = re.compile(candidate.pattern, re.DOTALL)
             if found.match(url):
-                best = rule
+                best = candidate
     return best
 
 
-def _match(broadcast):
+def _match(parts: list):
+    """The rule that decides each row, of all parts of the index; a task holds one part at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, compiled = broadcast.value, {}
+        compiled: dict = {}
         for batch in batches:
-            columns = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            for i, (host, path) in enumerate(zip(columns["host"], columns["path"], strict=True)):
-                if rule := best_rule(host, path, index, compiled):
-                    key = (*rule.rank, rule.name)
-                    if columns["rule"][i] is None or key > (columns["rank0"][i], columns["rank1"][i], columns["rule"][i]):
-                        columns["rank0"][i], columns["rank1"][i], columns["rule"][i] = key
-                        columns["verdict"][i] = rule.verdict
-            yield pa.RecordBatch.from_pydict(columns, batch.schema)
+            urls = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True))
+            best: list[Rule | None] = [None] * len(urls)
+            for index in loaded(parts):
+                for i, (host, path) in enumerate(urls):
+                    found = best_rule(host, path, index, compiled)
+                    if found and (best[i] is None or (found.rank, found.name) > (best[i].rank, best[i].name)):
+                        best[i] = found
+                if len(parts) > 1:
+                    compiled.clear()
+            made = [pa.array([b and b.rank[0] for b in best], pa.int32()), pa.array([b and b.name for b in best], pa.string()), pa.array([b.verdict if b else "allow" for b in best])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "kind", "rule", "verdict"])
 
     return run
 
@@ -129,17 +209,18 @@ def judge_urls(pages: DataFrame, rules: Iterable[Rule] = CONTRACT_RULES + LABEL_
 
     host is what follows the first "://" up to "/", "?", "#" or the end, with A-Z lower-cased; path goes on to
     "?", "#" or the end; both are empty for a null URL or one without "://". rule names the host and path rule
-    that decided, or is null where a rule of another kind (matched names it) or the default, allow, did.
-    Rows may repeat; other columns are not read. No rules at all allow everything.
+    that decided, or is null where a rule of another kind (matched names it) or the default, allow, did. Of rules
+    of one rank that fit, the last by name decides. Rows that repeat each have their result, and a URL of any length
+    is read whole; other columns, whatever their names, are not read. No rules at all allow everything; an empty
+    table gives an empty result.
     """
     spark = pages.sparkSession
     rules = list(rules)
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     index = index_rules(rules, token_counts(urls, [t for r in rules for t in r.tokens]) if rules else {})
-    found = urls.select("*", F.lit(None).cast("int").alias("rank0"), F.lit(None).cast("int").alias("rank1"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
-    for part in split_index(index, index_bytes) if rules else []:
-        found = found.mapInArrow(_match(spark.sparkContext.broadcast(part)), found.schema)
-    return found.select("page_id", "host", "path", F.when(F.col("rank0") == 1, F.col("rule")).alias("rule"), "verdict", F.col("rule").alias("matched"))
+    parts = [spark.sparkContext.broadcast(part) for part in split_index(index, index_bytes)]
+    found = urls.mapInArrow(_match(parts), f"page_id {urls.schema['page_id'].dataType.simpleString()}, host string, path string, kind int, rule string, verdict string")
+    return found.select("page_id", "host", "path", F.when(F.col("kind") == 1, F.col("rule")).alias("rule"), "verdict", F.col("rule").alias("matched"))
 
 
 ORACLE = r"""

@@ -1,10 +1,13 @@
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
 
 import pytest
 
-from attestor.llm.decontaminate import find_contamination, remove_contamination
+from attestor.llm.decontaminate import automata, find_contamination, remove_contamination
+from attestor.llm.tables import loaded
 
 ITEMS = "item_id int, text string, doc_id int"
 
@@ -55,3 +58,39 @@ def test_no_items_and_no_documents(spark):
     assert [r["contaminated"] for r in find_contamination(docs, items).collect()] == [False]
     assert find_contamination(docs.limit(0), items).collect() == []
     assert remove_contamination(docs, items).collect()[0]["text"] == "a b"
+
+
+def test_a_worker_holds_one_of_many_automata():
+    class Sent:
+        def __init__(self, n):
+            self.n = n
+
+        @property
+        def value(self):
+            self._value = self.n
+            return self._value
+
+    parts = [Sent(n) for n in range(20)]
+    for n in loaded(parts):
+        assert sum("_value" in p.__dict__ for p in parts) == 1 and parts[n]._value == n
+    assert not any("_value" in p.__dict__ for p in parts)
+
+
+def test_an_automaton_takes_no_more_room_than_its_numbers():
+    rng = random.Random(3)
+    items = [(k, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(100)).encode()) for k in range(1000)]
+    (automaton,) = automata(items)
+    data = pickle.dumps(automaton)
+    tracemalloc.start()
+    again = pickle.loads(data)
+    assert tracemalloc.get_traced_memory()[0] < 60 << 20 and again.step(0, 0) > 0
+    tracemalloc.stop()
+
+
+def test_repeated_rows_in_twenty_automata(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randint(0, 30)}" for _ in range(n))
+    items = [(k, text(12)) for k in range(20)]
+    docs = [(i % 7, " ".join([text(5), items[i % 20][1], text(5)])) for i in range(40)] * 2
+    got = find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, t, 0) for k, t in items], ITEMS), words_per_automaton=12)
+    assert sorted((tuple(r)[:6] for r in got.collect()), key=repr) == brute(docs, items)

@@ -66,3 +66,11 @@ def test_features_are_of_the_whole_text():
     short, long = features([b"ab " * 10]), features([b"ab " * 10 + b"$" * 1000])
     assert not np.allclose(short, long)
     assert np.isfinite(features([None, b"", b"\xff\n\n", b"x" * 10])).all()
+
+
+def test_labelled_negatives_do_not_matter_and_repeated_rows_score_alike(spark, scored):
+    _, docs, labels, got = scored
+    alone = score_quality(docs, labels.where("quality = 1")).collect()
+    assert sorted(map(repr, alone)) == sorted(map(repr, got))
+    twice = score_quality(docs.unionAll(docs.where("doc_id < 40")), labels).where("doc_id < 40").groupBy("doc_id").agg({"score": "count"}).collect()
+    assert {r[1] for r in twice} == {2}
