@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.components import components
 from attestor.llm.shingles import Powers, mix, shingle_bags
-from attestor.llm.tables import by_size, content, discard, fitting, keep_rows, settle
+from attestor.llm.tables import by_size, content, discard, fitting, in_small_batches, keep_rows, settle
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares no band with probability (1 - 0.8 ** 4) ** 25, 2e-6.
@@ -260,7 +260,8 @@ def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     popular = buckets.groupBy("node").agg(F.sum("n").alias("mates"))
     ranked = buckets.join(popular, "node")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("mates", (-F.col("node")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("leader"))
-    groups = settle(buckets.join(leaders, "key").where("node <> leader").select("leader", "node").distinct(), "groups", narrow=True)
+    leaders = settle(leaders, "leaders", narrow=True)
+    groups = settle(buckets.join(fitting(leaders), "key").where("node <> leader").select("leader", "node").distinct(), "groups", narrow=True)
     parts = groups.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = groups.join(parts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("member"), F.col("node").alias("id"))
     heads = parts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("member"), F.col("leader").alias("id"))
@@ -274,15 +275,15 @@ def _links(buckets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def _decide(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """(doc_id, content, class_id, kept) of each row; of each class one row is kept."""
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), content(F.col(text_col)).alias("content"), F.col(text_col).cast("binary").alias("text"))
+    named = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), content(F.col(text_col)).alias("content"), F.col(text_col).cast("binary").alias("text"))
     source = named.select("*", F.monotonically_increasing_id().alias("row"))
     signed = settle(source.mapInArrow(_sign, "doc_id long, content string, row long, digest string, bands array<long>"), "signed")
     # a node is a bag, numbered once the table is written
     bags = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "content")).alias("first"), F.first("bands").alias("bands"))
     firsts = settle(bags.select("digest", "first", "bands", F.monotonically_increasing_id().alias("node")), "firsts")
     bands = settle(firsts.select(F.explode("bands").alias("key"), "node"), "bands", narrow=True)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = settle(bands.join(shared, "key").select("key", "n", "node"), "buckets", narrow=True)
+    shared = settle(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared", narrow=True)
+    buckets = settle(bands.join(fitting(shared), "key").select("key", "n", "node"), "buckets", narrow=True)
     discard(bands)
     nodes = settle(firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("id"), F.col("first.doc_id").alias("of_id"), F.col("first.content").alias("of_content")), "nodes", narrow=True)
     same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("content") == F.col("of_content"))

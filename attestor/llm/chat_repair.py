@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.tables import fitting, settle
+from attestor.llm.tables import fitting, in_small_batches, settle
 
 START, ROLES = "start", ("system", "user", "assistant")
 STATES = (START, *ROLES)
@@ -260,7 +260,7 @@ def repair_chats(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     role = F.trim(F.lower(F.coalesce("role", F.lit("")).cast("string")))
     code = F.array_position(F.array(*map(F.lit, ROLES)), role)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text"))
+    rows = in_small_batches(conversations).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role"), F.col("text"))
     rows = rows.withColumns({"known": F.when(code > 0, code - 1).otherwise(len(ROLES)).cast("int"), "tie": F.md5(F.coalesce("text", F.lit("")).cast("binary")), "row": F.monotonically_increasing_id()})
     # row numbers serve only to deal equal rows to several partitions
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.coalesce("role", F.lit("")), F.col("tie"), F.col("row")]

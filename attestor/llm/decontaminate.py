@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.tables import by_size, loaded
+from attestor.llm.tables import by_size, in_small_batches, loaded
 
 WINDOW = 10
 #: Words of items in one automaton; more items go into further automata, of which a task holds one at a time.
@@ -188,6 +188,7 @@ def hits(texts: list[bytes | None], parts: Iterable[Automaton]) -> list[tuple[in
 
 def _broadcast(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, window: int, most: int) -> list:
     """One broadcast for each automaton, each of bounded size; the items stream to the driver."""
+    in_small_batches(items)
     rows = items.select(F.col(id_col), F.col(text_col).cast("binary")).toLocalIterator()
     return [spark.sparkContext.broadcast(a) for a in automata(((r[0], r[1]) for r in rows), window, most)]
 

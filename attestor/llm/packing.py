@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from attestor.llm.tables import by_size, give_back, settle
+from attestor.llm.tables import by_size, give_back, in_small_batches, settle
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         coder.known, coder.pieces = {}, {}
         give_back()
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return texts.mapInArrow(run, PIECE_DDL)
 
 

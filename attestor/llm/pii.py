@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.llm.endings import ENDINGS
-from attestor.llm.tables import by_size
+from attestor.llm.tables import by_size, in_small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 BATCH_BYTES = 4 << 20
@@ -268,7 +268,7 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     touch a base span of it the base span stays. Rows may repeat, each has its result; other columns, whatever
     their names, are not read. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return texts.mapInArrow(_find, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.tables import by_size
+from attestor.llm.tables import by_size, in_small_batches
 
 #: Bounds of the sample that the model is fitted on.
 POSITIVES, UNLABELLED = 12_000, 24_000
@@ -153,6 +153,7 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """A model from the texts of at most `positives` trusted rows and `unlabelled` others, each chosen by least hash of
     the id; None without trusted positives or unlabelled rows."""
+    in_small_batches(docs)
     usable = labels.where(~held_out(F.col("doc_id")) & (F.col("quality") == 1))
     trusted = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(positives)
     others = docs.select("doc_id").where(~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(unlabelled)

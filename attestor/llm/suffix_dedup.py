@@ -1,11 +1,12 @@
 """Removal of byte strings that repeat, by external induced sorting of suffixes.
 
-Every string of LENGTH bytes is dealt out by its minimiser, the least hash of its GRAM-byte strings, so equal
-strings meet. A stretch of successive strings with one minimiser is a segment. Equal segments need no
-sorting: all but the first are repeats. Segments that share a minimiser with others that differ may still
-share strings: their bytes are gathered in shards, and each shard's suffixes are sorted by induced_sort,
-whose common prefixes show which strings are equal. A minimiser that too many different segments share is
-split further, by the hash of each single string, so that no shard has to hold it.
+Every string of LENGTH bytes is dealt out by its minimiser, the least hash of its grams, so equal strings meet. A
+stretch of successive strings with one minimiser is a segment. Segments are first combined as a partial aggregate
+would be: of those with equal 128-bit digests the first stands for all, and the others are repeats. Where one
+minimiser then has several segments, these may still share strings: their bytes are gathered in shards, the suffixes
+of each shard are sorted by induced_sort, in files, and runs of suffixes whose common prefixes reach LENGTH are equal
+strings. A minimiser of more segments than a shard should hold is dealt out again by longer grams, of which at last
+hardly two strings can share one and differ.
 """
 
 from __future__ import annotations
@@ -19,20 +20,24 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestor.llm.induced_sort import CAP, Scratch, sort_suffixes
+from attestor.llm.induced_sort import CAP, MEMORY, Scratch, Stream, sort_suffixes
 from attestor.llm.shingles import Powers, mix
-from attestor.llm.tables import by_size, settle
-
-LENGTH, GRAM = 100, 40
-#: Bytes of text whose segments one bucket compares, and of segments whose suffixes one shard sorts.
-BUCKET_BYTES, SHARD_BYTES = 4 << 20, 2 << 20
-#: Different segments of one minimiser that go to one shard; where there are more, their single strings are compared.
-HOT = 2048
+from attestor.llm.tables import by_size, in_small_batches, settle
+
+LENGTH = 100
+#: Lengths of grams, for all strings and for those of frequent minimisers.
+GRAMS = (40, 70, 99)
+#: Bytes of text whose segments one bucket compares, of segments that one shard sorts, and of text in one partition.
+BUCKET_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 4 << 20, 16 << 20
+#: Bytes of different segments of one minimiser beyond which they are dealt out again.
+HOT_BYTES = 4 << 20
+#: Segments that a task holds back because they repeat in it.
+HELD = 1 << 16
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 19
 NO_ID = (1 << 63) - 1
 
-#: Kinds of rows: a repeat; a segment to sort; a segment whose strings are compared one by one.
-REPEAT, SORT, SPLIT = 0, 1, 2
+#: Kinds of rows: a repeat; a segment to sort; a segment to deal out again.
+REPEAT, SORT, AGAIN = 0, 1, 2
 SPANS = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("key", pa.int64()), ("kind", pa.int32())])
 SPANS_DDL = "id long, tag long, start long, stop long, key long, kind int"
 
@@ -49,11 +54,14 @@ def unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
 
 
 class Records:
-    """Hashed strings and where they are: h1, h2 unsigned 64-bit; id, tag, start, stop; whether a string may repeat within."""
+    """Segments: the minimiser, 32 bits of it once sent; both halves of the digest; id, tag, start, stop; whether a string may repeat within."""
 
     def __init__(self, *columns: np.ndarray):
         self.columns = columns
-        self.h1, self.h2, self.ids, self.tags, self.start, self.stop, self.loops = columns
+        self.least, self.d1, self.d2, self.ids, self.tags, self.start, self.stop, self.loops = columns
+
+    def __len__(self) -> int:
+        return len(self.least)
 
     def at(self, which: np.ndarray) -> Records:
         return Records(*(x[which] for x in self.columns))
@@ -63,7 +71,7 @@ class Records:
         return Records(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
 
     def to_bytes(self) -> dict:
-        return {"n": len(self.h1), "hashes": self.h1.astype(np.uint32).tobytes() + self.h2.astype(np.uint64).tobytes(), "places": pack([self.ids, self.tags, self.start, self.stop - self.start, self.loops])}
+        return {"n": len(self), "hashes": b"".join(x.astype(t).tobytes() for x, t in ((self.least, np.uint32), (self.d1, np.uint64), (self.d2, np.uint64))), "places": pack([self.ids, self.tags, self.start, self.stop - self.start, self.loops])}
 
     @staticmethod
     def from_rows(rows: list[dict]) -> Records:
@@ -71,17 +79,20 @@ class Records:
         for r in rows:
             n = r["n"]
             ids, tags, start, size, loops = unpack(r["places"], n, 5)
-            parts.append(Records(np.frombuffer(r["hashes"], np.uint32, n), np.frombuffer(r["hashes"], np.uint64, n, 4 * n), ids, tags, start, start + size, loops))
+            parts.append(Records(np.frombuffer(r["hashes"], np.uint32, n), *(np.frombuffer(r["hashes"], np.uint64, n, k * n) for k in (4, 12)), ids, tags, start, start + size, loops))
         return Records.joined(parts)
 
-    def split(self) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that are the first of their hashes, in order of these, and those that repeat one at another place."""
-        order = np.lexsort((self.start, self.tags, self.ids, self.h2, self.h1))
-        a, b = self.h1[order], self.h2[order]
-        first = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(order)]
-        leader = order[first][np.cumsum(first) - 1]
+    def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows that are the first of their digests, in order of minimiser and digest, how many rows each stands for, and those that repeat one at another place."""
+        order = np.lexsort((self.start, self.tags, self.ids, self.d2, self.d1, self.least))
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for x in (self.least, self.d1, self.d2):
+            new[1:] |= x[order[1:]] != x[order[:-1]]
+        first = np.flatnonzero(new)
+        leader = order[first][np.cumsum(new) - 1]
         again = (self.start[order] != self.start[leader]) | (self.tags[order] != self.tags[leader]) | (self.ids[order] != self.ids[leader])
-        return order[first], order[again]
+        return order[first], np.diff(np.append(first, len(order))), order[again]
 
 
 class Hashes:
@@ -92,9 +103,6 @@ class Hashes:
         up, self.down = powers.upto(n)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)))
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
-
     def grams(self, size: int) -> np.ndarray:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
@@ -119,15 +127,15 @@ def occurrence(x: np.ndarray, wanted: np.ndarray, at: np.ndarray, step: int, mos
     return at
 
 
-def segments(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int, gram: int, powers: Powers) -> Records | None:
-    """The segments of the texts: h1 is the minimiser, h2 the hash of the bytes."""
+def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[bytes], length: int, gram: int, powers: Powers) -> Records | None:
+    """The segments of the texts, which begin at `bases` of their documents."""
     pieces = [(k, a, texts[k][a : a + PIECE_BYTES + length - 1]) for k in range(len(texts)) for a in range(0, max(1, len(texts[k]) - length + 1), PIECE_BYTES)]
     pieces = [p for p in pieces if len(p[2]) >= length]
     if not pieces:
         return None
     sizes = np.array([len(p[2]) for p in pieces])
-    hashes = Hashes(b"".join(p[2] for p in pieces), powers)
-    grams = hashes.grams(gram)
+    data = b"".join(p[2] for p in pieces)
+    grams = Hashes(data, powers).grams(gram)
     least = sliding_minimum(grams, length - gram + 1)
     piece = np.repeat(np.arange(len(pieces)), sizes)
     inside = piece[: len(least)] == piece[length - 1 :]
@@ -139,150 +147,223 @@ def segments(ids: np.ndarray, tags: np.ndarray, texts: list[bytes], length: int,
     width = length - gram + 1
     loops = occurrence(grams, least[first], first, 1, width) != occurrence(grams, least[first], last + width - 1, -1, width)
     last = last + length
+    view, digest = memoryview(data), hashlib.blake2b
+    digests = np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
     own = piece[first]
     doc, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-    place = first - (np.cumsum(sizes) - sizes)[own] + offset[own]
-    return Records(least[first], hashes.of(first, last), ids[doc[own]], tags[doc[own]], place, place + last - first, loops.astype(np.int64))
+    place = first - (np.cumsum(sizes) - sizes)[own] + offset[own] + bases[doc[own]]
+    return Records(least[first], digests[:, 0], digests[:, 1], ids[doc[own]], tags[doc[own]], place, place + last - first, loops.astype(np.int64))
 
 
 BLOBS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary())])
 BLOBS_DDL = "bucket long, kind int, n long, hashes binary, places binary"
 
 
-def _deal(found: Records, buckets: int) -> Iterator[dict]:
-    """Rows of BLOBS: in each bucket the first of equal records, and the others, which are repeats already."""
-    first, again = found.split()
-    bucket = ((found.h1 >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    for kind, rows in ((SORT, np.sort(first)), (REPEAT, np.sort(again))):
-        rows = rows[np.argsort(bucket[rows], kind="stable")]
-        cuts = np.flatnonzero(np.diff(bucket[rows], prepend=-1)) if len(rows) else np.zeros(0, np.int64)
-        for a, b in zip(cuts, [*cuts[1:], len(rows)][: len(cuts)], strict=True):
-            yield {"bucket": int(bucket[rows[a]]), "kind": kind} | found.at(rows[a:b]).to_bytes()
+def _dealt(found: Records, rows: np.ndarray, bucket: np.ndarray, kind: int) -> Iterator[dict]:
+    """Rows of BLOBS of the chosen records."""
+    order = np.lexsort((rows, bucket))
+    rows, bucket = rows[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(rows) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, [*cuts[1:], len(rows)][: len(cuts)], strict=True):
+        yield {"bucket": int(bucket[a]), "kind": kind} | found.at(rows[a:b]).to_bytes()
+
+
+def _hash_segments(buckets: int, length: int, gram: int, held: int):
+    """Of each task the first of equal segments, by buckets of their minimisers, and the others, which are repeats already.
 
+    Segments that repeat are held back until the task ends, so that a line of every document leaves a task once;
+    repeats are spread over buckets of their own.
+    """
 
-def _hash_segments(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, waiting, turn = Powers(), None, 0
+        of = lambda x: ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         for batch in by_size(batches, "text", BATCH_BYTES):
-            batch = batch.sort_by([("id", "ascending"), ("tag", "ascending")])
             with np.errstate(over="ignore"):
-                found = segments(batch.column("id").to_numpy(), batch.column("tag").to_numpy(), [t or b"" for t in batch.column("text").to_pylist()], length, gram, powers)
-                if found:
-                    yield pa.RecordBatch.from_pylist(list(_deal(found, buckets)), BLOBS)
+                found = segments(*(batch.column(c).to_numpy() for c in ("id", "tag", "base")), [t or b"" for t in batch.column("text").to_pylist()], length, gram, powers)
+                if not found:
+                    continue
+                if waiting:
+                    found = Records.joined([waiting, found])
+                first, stands, again = found.split()
+                before = first < len(waiting) if waiting else np.zeros(len(first), bool)
+                back = np.flatnonzero((stands > 1) | before)
+                back = back[np.argsort(-stands[back], kind="stable")[:held]]
+                go = np.ones(len(first), bool)
+                go[back] = False
+                waiting = found.at(first[back]) if len(back) else None
+                turn = (turn + (mix(found.least[:1])[0] >> np.uint64(40))) % np.uint64(buckets)
+                out = [*_dealt(found, first[go], of(found.least[first[go]]), SORT), *_dealt(found, again, np.full(len(again), buckets + int(turn)), REPEAT)]
+            yield pa.RecordBatch.from_pylist(out, BLOBS)
+        if waiting:
+            yield pa.RecordBatch.from_pylist(list(_dealt(waiting, np.arange(len(waiting)), of(waiting.least), SORT)), BLOBS)
 
     return run
 
 
-def _spans(records: Records, kind: int, key: np.ndarray | None = None) -> pa.Table:
-    n = len(records.ids)
-    return pa.table([records.ids, records.tags, records.start, records.stop, np.zeros(n, np.int64) if key is None else key, np.full(n, kind, np.int32)], schema=SPANS)
+def _spans(records: Records, kind: int, key: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(records)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (records.ids, records.tags, records.start, records.stop, np.zeros(n, np.int64) if key is None else key, np.full(n, kind, np.int32))], schema=SPANS)
 
 
-def _compare_segments(hot: int):
+def _compare_segments(hot: int | None):
     """Of a bucket: the repeats, and the segments in which strings may repeat: those whose minimiser has several different ones, or that loop."""
 
-    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        known = [r for r in rows if r["kind"] == REPEAT]
-        out = [_spans(Records.from_rows(known), REPEAT)] if known else []
-        found = Records.from_rows([r for r in rows if r["kind"] == SORT])
-        first, again = found.split()
-        out.append(_spans(found.at(again), REPEAT))
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["kind"] == REPEAT:
+                    yield _spans(Records.from_rows([r]), REPEAT)
+                else:
+                    rows.append(r)
+        if not rows:
+            return
+        found = Records.from_rows(rows)
+        first, _, again = found.split()
+        yield _spans(found.at(again), REPEAT)
         firsts = found.at(first)
-        same = np.flatnonzero(np.concatenate(([True], firsts.h1[1:] != firsts.h1[:-1])))
-        sizes = np.diff(np.concatenate((same, [len(firsts.h1)])))
-        each = np.repeat(sizes, sizes)
-        shard_key = (firsts.h1.astype(np.int64) << 31) ^ key[0].as_py()
-        for kind, chosen in ((SORT, ((each > 1) | (firsts.loops > 0)) & (each <= hot)), (SPLIT, each > hot)):
-            out.append(_spans(firsts.at(chosen), kind, shard_key[chosen]))
-        return pa.concat_tables(out)
+        group = np.flatnonzero(np.concatenate(([True], firsts.least[1:] != firsts.least[:-1])))
+        sizes = np.diff(np.append(group, len(firsts)))
+        big = np.repeat(np.add.reduceat(firsts.stop - firsts.start, group) > (hot or 1 << 62), sizes)
+        chosen = (np.repeat(sizes, sizes) > 1) | (firsts.loops > 0)
+        shard_key = (firsts.least.astype(np.int64) << 31) ^ key[0].as_py()
+        for kind, which in ((SORT, chosen & ~big), (AGAIN, chosen & big)):
+            yield _spans(firsts.at(which), kind, shard_key[which])
 
     return run
 
 
-SHARDS = pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary()), ("bytes", pa.binary())])
-SHARDS_DDL = "shard long, kind int, n long, hashes binary, places binary, bytes binary"
-
+def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of segments, from texts with lists of segments."""
+    for batch in by_size(batches, "text", BATCH_BYTES):
+        rows = []
+        for doc, tag, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text", "found")), strict=True):
+            rows += [(s["key"], doc, tag, s["start"], text[s["start"] : s["stop"]]) for s in found]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "id", "tag", "base", "text"])
 
-def _gather_segments(shards: int, length: int):
-    """The bytes of the segments to sort, by shard; the hashes of each string of those to split, by shards of their own."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in by_size(batches, "text", BATCH_BYTES):
-            by_shard: dict[int, list] = {}
-            strings: list[Records] = []
-            ids, tags = batch.column("id").to_numpy(), batch.column("tag").to_numpy()
-            for i, (text, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True)):
-                for s in found:
-                    if s["kind"] == SORT:
-                        by_shard.setdefault(int(mix(np.array([s["key"] & (2**64 - 1)], np.uint64))[0] % np.uint64(shards)), []).append((int(ids[i]), int(tags[i]), s["start"], text[s["start"] : s["stop"]]))
-                    else:
-                        piece = text[s["start"] : s["stop"]]
-                        with np.errstate(over="ignore"):
-                            a = np.arange(len(piece) - length + 1)
-                            h = Hashes(piece, powers).of(a, a + length)
-                            strings.append(Records(mix(h ^ np.uint64(0x9E3779B97F4A7C15)), h, np.full(len(a), ids[i]), np.full(len(a), tags[i]), a + s["start"], a + s["start"] + length, np.zeros(len(a), np.int64)))
-            rows = []
-            for shard, found in by_shard.items():
-                data = [np.array(x, np.int64) for x in zip(*((f[0], f[1], f[2], len(f[3])) for f in found), strict=True)]
-                rows.append({"shard": shard, "kind": SORT, "n": len(found), "places": pack(data), "bytes": b"".join(f[3] for f in found)})
-            if strings:
-                rows += [{"shard": shards + r.pop("bucket")} | r for r in _deal(Records.joined(strings), shards)]
-            yield pa.RecordBatch.from_pylist([{"hashes": None, "bytes": None} | r for r in rows], SHARDS)
-
-    return run
+def without_periods(segment: bytes, length: int) -> list[tuple[int, int]]:
+    """The parts of a segment that are left where long stretches repeat what stands just before them.
 
+    Of a stretch of one period p, all strings but the first p that lie within it repeat the one p bytes before. Whole
+    periods are taken out of its middle, so that what is left still shows this.
+    """
+    if len(segment) < 8 * length:
+        return [(0, len(segment))]
+    data, cuts, free = np.frombuffer(segment, np.uint8), [], 0
+    for p in range(1, length):
+        same = np.flatnonzero(np.diff(np.concatenate(([0], (data[p:] == data[:-p]).astype(np.int8), [0]))))
+        for a, b in zip(same[::2].tolist(), (same[1::2] + p).tolist(), strict=True):
+            a = max(a, free)
+            gone = (b - a - 3 * (length + p)) // p * p
+            if gone > length and all(b <= x or a >= y for x, y in cuts):
+                cuts.append((a + length + p, a + length + p + gone))
+    cuts.sort()
+    edges = [0, *(x for cut in cuts for x in cut), len(segment)]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+TABLE = np.dtype([("id", "<i8"), ("tag", "<i8"), ("start", "<i8"), ("at", "<i8")])
+
+
+class Shard:
+    """The text of a shard in files: the segments' bytes, a mark after each, and a last symbol."""
+
+    def __init__(self, length: int, memory: int):
+        self.length, self.scratch, self.before = length, Scratch(memory), None
+        self.text, self.whole, self.table = Stream(self.scratch, np.uint16), Stream(self.scratch, bool), Stream(self.scratch, TABLE)
+
+    def add(self, rows: Iterator[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """Takes segments in order of their places; gives the spans that need no sorting."""
+        for doc, tag, start, segment in rows:
+            if (doc, tag, start) == self.before:  # of a row that repeats
+                continue
+            self.before = doc, tag, start
+            parts = without_periods(segment, self.length)
+            data = segment if len(parts) == 1 else b"".join(segment[a:b] for a, b in parts)
+            at = self.text.n
+            for (a, b), after in zip(parts, [*parts[1:], None], strict=True):
+                self.table.put(np.array([(doc, tag, start + a, at)], TABLE))
+                at += b - a
+                if after:
+                    yield doc, tag, start + b, start + after[0] + self.length - 1
+            symbols = np.frombuffer(data, np.uint8).astype(np.uint16) + 2
+            self.text.put(np.append(symbols, np.uint16(1)))
+            self.whole.put(np.arange(len(data) + 1) <= len(data) - self.length)
+
+    def spans(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """(id, tag, start, stop) of strings that also start earlier, in an earlier segment or in their own; those that meet are one."""
+        self.text.put(np.array([0], np.uint16))
+        self.whole.put(np.array([False]))
+        text, whole = self.text.mapped(), self.whole.mapped()
+        again = self.scratch.array(len(text), bool)
+        earliest, least = -1, CAP
+        for at, common in sort_suffixes(text, 258, self.scratch):
+            chosen = np.flatnonzero(whole[at])
+            if not len(chosen):
+                least = min(least, int(common.min()))
+                continue
+            shared = np.minimum.reduceat(common[: chosen[-1] + 1], np.concatenate(([0], chosen[:-1] + 1)))
+            shared[0] = min(int(shared[0]), least)
+            least = int(common[chosen[-1] + 1 :].min(initial=CAP))
+            place, new = at[chosen], shared < self.length
+            new[0] |= earliest < 0
+            if not new[0]:  # the run of equal strings goes on from the chunk before
+                place, new = np.append(np.int32(earliest), place), np.append(True, new)
+            runs = np.flatnonzero(new)
+            first = np.minimum.reduceat(place, runs)
+            again[place[place != np.repeat(first, np.diff(np.append(runs, len(place))))]] = True
+            earliest = int(first[-1])
+        yield from self._merged(again)
+
+    def _merged(self, again: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for k in range(0, self.table.n, self.scratch.chunk // 8 + 1):
+            part = self.table.at(k, self.scratch.chunk // 8 + 2)
+            stop = int(part["at"][-1]) if k + self.scratch.chunk // 8 + 1 < self.table.n else len(again)
+            part = part[: self.scratch.chunk // 8 + 1]
+            for first in range(int(part["at"][0]), stop, self.scratch.chunk):
+                found = np.flatnonzero(again[first : min(stop, first + self.scratch.chunk)]) + first
+                if not len(found):
+                    continue
+                own = np.searchsorted(part["at"], found, side="right") - 1
+                start = part["start"][own] + found - part["at"][own]
+                new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (start[1:] > start[:-1] + self.length))))
+                ends = np.append(new[1:] - 1, len(found) - 1)
+                yield part["id"][own[new]], part["tag"][own[new]], start[new], start[ends] + self.length
+
+    def close(self) -> None:
+        self.scratch.close()
+
+
+def _rows(ids, tags, starts, stops) -> pa.RecordBatch:
+    n = len(ids)
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, tags, starts, stops, np.zeros(n, np.int64))), pa.array(np.full(n, REPEAT, np.int32))], schema=SPANS)
+
+
+def _sort_shards(length: int, memory: int):
+    """Sorts the shards of a partition, whose rows (shard, id, tag, base, text) are in order, one after another."""
 
-def repeats_in(segments: list[bytes], length: int, scratch: Scratch) -> list[tuple[int, int]]:
-    """(segment, offset) of each string of `length` bytes that also starts earlier, in an earlier segment or in its own."""
-    sizes = np.array([len(s) for s in segments])
-    ends = np.cumsum(sizes + 1)
-    text = np.frombuffer(b"\0".join(segments) + b"\0\0", np.uint8).astype(np.int32) + 2
-    text[ends - 1] = 1
-    text[-1] = 0
-    of = np.repeat(np.arange(len(segments)), sizes + 1)
-    starts = np.zeros(len(text), bool)
-    starts[:-1] = np.arange(len(of)) + length <= (ends - 1)[of]
-    order, common = sort_suffixes(text, scratch)
-    chosen = np.flatnonzero(starts[order])
-    if len(chosen) < 2:
-        return []
-    shared = np.minimum.reduceat(common, np.concatenate(([0], chosen[:-1] + 1)))[: len(chosen)]
-    if chosen[-1] + 1 < len(common):  # the last range ends with its suffix
-        shared[-1] = common[chosen[-2] + 1 : chosen[-1] + 1].min()
-    group = np.flatnonzero(np.concatenate(([True], shared[1:] < length)))
-    place = order[chosen]
-    earliest = np.repeat(np.minimum.reduceat(place, group), np.diff(np.concatenate((group, [len(place)]))))
-    again = np.sort(place[place > earliest])
-    return list(zip(of[again].tolist(), (again - (ends - sizes - 1)[of[again]]).tolist(), strict=True))
-
-
-def _sort_shard(length: int, memory: int):
-    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        if rows[0]["hashes"] is not None:
-            known = [r for r in rows if r["kind"] == REPEAT]
-            found = Records.from_rows([r for r in rows if r["kind"] == SORT])
-            return pa.concat_tables([_spans(found.at(found.split()[1]), REPEAT), *([_spans(Records.from_rows(known), REPEAT)] if known else [])])
-        by_place = {}
-        for r in rows:
-            at = 0
-            for doc, tag, start, size in zip(*(c.tolist() for c in unpack(r["places"], r["n"], 4)), strict=True):
-                by_place[doc, tag, start] = r["bytes"][at : at + size]
-                at += size
-        every = [(*place, by_place[place]) for place in sorted(by_place)]
-        scratch = Scratch(memory)
-        out: dict[str, list] = {name: [] for name in SPANS.names}
-        for k, offset in repeats_in([s[3] for s in every], length, scratch):
-            doc, tag, start, _ = every[k]
-            if out["id"] and out["id"][-1] == doc and out["tag"][-1] == tag and out["start"][-1] <= start + offset <= out["stop"][-1]:
-                out["stop"][-1] = start + offset + length
-            else:
-                for name, value in zip(SPANS.names, (doc, tag, start + offset, start + offset + length, 0, REPEAT), strict=True):
-                    out[name].append(value)
-        scratch.close()
-        return pa.table(out, schema=SPANS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, shard = None, None
+        for batch in by_size(batches, "text", memory // 8):
+            shards = batch.column("shard").to_numpy()
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "base", "text")), strict=True))
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(rows)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if shards[a] != current:
+                    if shard:
+                        yield from (_rows(*x) for x in shard.spans())
+                        shard.close()
+                    current, shard = shards[a], Shard(length, memory)
+                if known := list(shard.add(iter(rows[a:b]))):
+                    yield _rows(*zip(*known, strict=True))
+        if shard:
+            yield from (_rows(*x) for x in shard.spans())
+            shard.close()
 
     return run
 
@@ -315,37 +396,58 @@ def _cut(with_bytes: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, memory: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, grams: tuple[int, ...] = GRAMS, with_bytes: bool = False, hot_bytes: int = HOT_BYTES, bucket_bytes: int = BUCKET_BYTES, shard_bytes: int = SHARD_BYTES, held: int = HELD, memory: int = MEMORY) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept.
 
     A byte of a text's UTF-8 form is removed if a string of `length` bytes that covers it also starts earlier:
     in a document of smaller id, or earlier in the same one; strings are those of the input. spans holds the
-    removed runs as [first, last); kept, asked for by with_bytes, the other bytes. Null texts are empty. Null
-    ids come last. Documents of one id are ordered by their texts' checksums, and rows that repeat both id
-    and text are one document. Other columns are not read; an empty table gives an empty result. length is
-    at most the number to which common prefixes are counted, induced_sort.CAP.
+    removed runs as [first, last); kept, asked for by with_bytes, the other bytes. Null texts are empty, and a text
+    of any length is read whole. Null ids come last. Documents of one id are ordered by their texts' checksums, and
+    rows that repeat both id and text are one document. Other columns, whatever their names, are not read; an empty
+    table gives an empty result. length is at most the number to which common prefixes are counted, induced_sort.CAP.
     """
-    if not gram <= length <= CAP:
-        raise ValueError(f"gram <= length <= {CAP} is needed")
-    text = F.encode(F.col(text_col), "UTF-8")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
-    repeated = source.groupBy("id").agg(F.min(F.crc32(F.coalesce("text", F.lit(b"")))).alias("low"), F.max(F.crc32(F.coalesce("text", F.lit(b"")))).alias("high")).where("low <> high").select("id")
-    if repeated.isEmpty():
-        source = source.withColumn("tag", F.lit(0).cast("long"))
+    if not (all(a < b for a, b in zip(grams, grams[1:], strict=False)) and grams[-1] <= length <= CAP):
+        raise ValueError(f"rising grams <= length <= {CAP} are needed")
+    text, crc = F.encode(F.col(text_col), "UTF-8"), F.crc32(F.coalesce("text", F.lit(b"")))
+    source = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
+    by_id = source.groupBy("id").agg(F.sum(F.octet_length("text")).alias("size"), F.min(crc).alias("low"), F.max(crc).alias("high"))
+    size, repeated = by_id.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("low") != F.col("high"))).first()
+    if repeated:
+        ids = settle(by_id.where("low <> high").select("id", F.lit(True).alias("again")), "repeated", narrow=True)
+        source = source.join(ids, "id", "left").select("doc_id", "id", "text", F.when(F.col("again"), crc).otherwise(F.lit(0)).cast("long").alias("tag"))
     else:
-        source = source.join(repeated.withColumn("again", F.lit(True)), "id", "left").select("doc_id", "id", "text", F.when(F.col("again"), F.crc32(F.coalesce("text", F.lit(b"")))).otherwise(F.lit(0)).cast("long").alias("tag"))
-    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blobs = source.select("id", "tag", "text").mapInArrow(_hash_segments(max(1, -(-size // bucket_bytes)), length, gram), BLOBS_DDL)
-    found = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(hot), SPANS_DDL), "segments", narrow=True)
-
-    gathered = found.where(F.col("kind") != REPEAT).agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()[0]
-    placed = source.select("id", "tag", "doc_id", "text").repartition("id", "tag")
-    wanted = found.where(F.col("kind") != REPEAT).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop", "key", "kind")).alias("found"))
-    segments_of = placed.join(wanted, ["id", "tag"]).select("id", "tag", "doc_id", "text", "found")
-    shards = segments_of.mapInArrow(_gather_segments(max(1, -(-gathered // shard_bytes)), length), SHARDS_DDL)
-    sorted_out = shards.groupBy("shard").applyInArrow(_sort_shard(length, Scratch().budget if memory is None else memory), SPANS_DDL)
-    every = found.where(F.col("kind") == REPEAT).unionByName(sorted_out).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
-    return placed.join(every, ["id", "tag"], "left").select("doc_id", "text", "found").mapInArrow(_cut(with_bytes), RESULT_DDL)
+        source = source.withColumn("tag", F.lit(0).cast("long"))
+    placed = source.select("id", "tag", "doc_id", "text").repartition(max(source.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), "id", "tag")
+
+    def gathered(found: DataFrame, kind: int) -> DataFrame:
+        wanted = found.where(F.col("kind") == kind).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop", "key")).alias("found"))
+        return placed.join(wanted, ["id", "tag"]).select("id", "tag", "text", "found").mapInArrow(_bytes_of, "key long, id long, tag long, base long, text binary")
+
+    parts, found, level, n = [], [], source.select("id", "tag", F.lit(0).cast("long").alias("base"), "text"), size
+    for k, gram in enumerate(grams):
+        last = k + 1 == len(grams)
+        blobs = level.mapInArrow(_hash_segments(max(1, -(-n // bucket_bytes)), length, gram, held), BLOBS_DDL)
+        now = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(None if last else hot_bytes), SPANS_DDL), "segments", narrow=True)
+        found.append(now)
+        sizes = {r["kind"]: r["size"] for r in now.where(F.col("kind") != REPEAT).groupBy("kind").agg(F.sum(F.col("stop") - F.col("start")).alias("size")).collect()}
+        if SORT in sizes:
+            parts.append((sizes[SORT], gathered(now, SORT)))
+        n = sizes.get(AGAIN, 0)
+        if not n:
+            break
+        level = gathered(now, AGAIN).select("id", "tag", "base", "text")
+
+    every = [x.where(F.col("kind") == REPEAT).select("id", "tag", "start", "stop") for x in found]
+    for part_size, part in parts:
+        shards = max(1, -(-part_size // shard_bytes))
+        dealt = part.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "id", "tag", "base", "text")
+        ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", "tag", "base")
+        every.append(ordered.mapInArrow(_sort_shards(length, memory), SPANS_DDL).select("id", "tag", "start", "stop"))
+    spans = every[0]
+    for more in every[1:]:
+        spans = spans.unionByName(more)
+    merged = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    return placed.join(merged, ["id", "tag"], "left").select("doc_id", "text", "found").mapInArrow(_cut(with_bytes), RESULT_DDL)
 
 
 #: Every string of 100 bytes by its MD5: for small tables only.

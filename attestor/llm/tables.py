@@ -17,12 +17,20 @@ from pyspark.sql import functions as F
 
 #: Rows of narrow tables that are broadcast at most; larger ones are joined by shuffle.
 SMALL = 200_000
+BATCH = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs, whose rows from now on go to Python in batches of at most BATCH bytes (or single rows), as all tables of this
+    session do: the default of 64 MB, in the executor and in each of its workers, is much for long texts."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a temporary folder, which only local mode may use."""
     found = spark.conf.get("spark.checkpoint.dir", None)
