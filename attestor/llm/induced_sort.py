@@ -27,12 +27,14 @@ import numpy as np
 
 #: Common prefixes are counted up to this length.
 CAP = 127
-#: Bytes of memory that a sort may take; its files take about 24 bytes for each symbol of the text.
+#: Bytes of memory that a sort may take.
 MEMORY = 4 << 20
 #: What one entry of a batch takes in all arrays that are made of it, and the fewest entries of a batch.
 ENTRY, LEAST = 1600, 64
 #: Bytes that a stream holds before they are written; files that records are dealt out to at once.
 BUFFER, PARTS = 4096, 24
+#: Files of a queue.
+FILES = 24
 #: Suffixes that are compared at once.
 BLOCK = 256
 
@@ -83,12 +85,16 @@ class Stream:
         self._flush()
         return np.frombuffer(os.pread(self.file.fileno(), count * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
 
-    def chunks(self, backward: bool = False, size: int | None = None) -> Iterator[np.ndarray]:
-        size = size or self.scratch.chunk
-        starts = range(0, self.n, size)
-        for first in reversed(starts) if backward else starts:
-            found = self.at(first, min(size, self.n - first))
-            yield found[::-1] if backward else found
+    def chunks(self) -> Iterator[np.ndarray]:
+        for first in range(0, self.n, self.scratch.chunk):
+            yield self.at(first, min(self.scratch.chunk, self.n - first))
+
+    def backward(self) -> Iterator[np.ndarray]:
+        """Chunks from the end, each in falling order; what has been read is cut off."""
+        for first in reversed(range(0, self.n, self.scratch.chunk)):
+            found = self.at(first, min(self.scratch.chunk, self.n - first))
+            os.ftruncate(self.file.fileno(), first * self.dtype.itemsize)
+            yield found[::-1]
 
     def mapped(self) -> np.ndarray:
         self._flush()
@@ -213,24 +219,45 @@ class Level:
         return at, star
 
 
-def piece_keys(level: Level, at: np.ndarray, last: np.ndarray, star: np.ndarray, words: int, per: int) -> np.ndarray:
-    """Keys of the pieces at..last whose order is that of the samples, as far as they go; star: whether the next sample is S*.
+class Pieces:
+    """Records (key, number) of the pieces from each sample to the next, made as they are read.
 
-    A piece that is the beginning of another is the greater one, as its end rises and the other falls there.
+    The order of keys is that of the samples, as far as they go. A piece that is the beginning of another is the greater
+    one, as its end rises and the other falls there.
     """
-    out = np.zeros((len(at), words), np.uint64)
-    pad = (1 << level.bits) - 1
-    for k in range(words * per):
-        symbol = level.symbols[np.minimum(at + k, last)]
-        out[:, k // per] = (out[:, k // per] << np.uint64(level.bits)) | np.where(at + k <= last, symbol, pad).astype(np.uint64)
-    out[:, -1] = (out[:, -1] << np.uint64(1)) | star.astype(np.uint64)
-    return out
 
+    def __init__(self, level: Level, at: Stream, star: Stream):
+        self.level, self.where, self.star, self.n = level, at, star, at.n
+        self.per, self.words = (62 // level.bits, 2) if level.places is None else (2, 3)
+        self.dtype = np.dtype([("key", "<u8", (self.words,)), ("number", "<i4")])
 
-def sorted_records(scratch: Scratch, records: Stream, words: int, word: int = 0) -> Iterator[np.ndarray]:
+    def at(self, first: int, count: int) -> np.ndarray:
+        level, count = self.level, min(count, self.n - first)
+        starts, stars = (x.at(first, min(count + 1, self.n - first)) for x in (self.where, self.star))
+        if first + count == self.n:  # the last piece is the last symbol
+            starts, stars = np.append(starts, starts[-1]), np.append(stars, True)
+        at, last, pad = starts[:-1].astype(np.int64), starts[1:].astype(np.int64), (1 << level.bits) - 1
+        out = np.zeros(count, self.dtype)
+        key = out["key"]
+        for k in range(self.words * self.per):
+            symbol = level.symbols[np.minimum(at + k, last)]
+            key[:, k // self.per] = (key[:, k // self.per] << np.uint64(level.bits)) | np.where(at + k <= last, symbol, pad).astype(np.uint64)
+        key[:, -1] = (key[:, -1] << np.uint64(1)) | stars[1:].astype(np.uint64)
+        out["number"] = np.arange(first, first + count)
+        return out
+
+    def chunks(self) -> Iterator[np.ndarray]:
+        for first in range(0, self.n, self.level.scratch.chunk):
+            yield self.at(first, self.level.scratch.chunk)
+
+    def drop(self) -> None:
+        pass
+
+
+def sorted_records(scratch: Scratch, records: Stream | Pieces, words: int, word: int = 0) -> Iterator[np.ndarray]:
     """The records (key: words, number) in order of their keys from `word` on; what is too much for memory is dealt out over files."""
     if records.n <= scratch.chunk or word == words:
-        for part in records.chunks(size=scratch.chunk):
+        for part in records.chunks():
             yield part[np.lexsort([part["key"][:, k] for k in range(words - 1, word - 1, -1)])] if word < words else part
         records.drop()
         return
@@ -261,7 +288,8 @@ NONE = np.zeros((0, 3), np.int32)
 class Queue:
     """Tuples on disk that leave by lane and, within a lane, in the order they came; the newest wait in memory.
 
-    A lane is a chain of blocks in one file: a record (length, next block, 0), then the tuples.
+    A lane is a chain of blocks in a file: a record (length, next block, 0), then the tuples. Successive lanes share a
+    file, which goes when they have been emptied.
     """
 
     def __init__(self, scratch: Scratch, lanes: int):
@@ -271,9 +299,9 @@ class Queue:
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self.own: list[np.ndarray] = []
         self.current = -1
-        self.waiting = self.held = self.more = self.written = self.skip = 0
-        self.path = scratch.path()
-        self.file = open(self.path, "w+b", buffering=0)  # noqa: SIM115
+        self.waiting = self.held = self.more = self.skip = 0
+        self.share = max(1, -(-lanes // FILES))
+        self.files: dict[int, list] = {}
 
     def put(self, lane: np.ndarray, tuples: np.ndarray) -> None:
         """Takes tuples, whose lanes rise."""
@@ -305,24 +333,42 @@ class Queue:
             self._write(self.memory)
             self.memory, self.held = {}, 0
 
+    def _file(self, lane: int) -> list:
+        """[descriptor, records written, path] of a lane's file."""
+        k = lane // self.share
+        if k not in self.files:
+            path = self.scratch.path()
+            self.files[k] = [os.open(path, os.O_RDWR | os.O_CREAT), 0, path]
+        return self.files[k]
+
     def _write(self, lanes: dict[int, list[np.ndarray]]) -> None:
         """Adds one block to the chain of each lane."""
-        parts, tail, head, fd = [], self.tail, self.head, self.file.fileno()
+        tail, head = self.tail, self.head
+        together: dict[int, list[np.ndarray]] = {}
         for lane, own in lanes.items():
-            count = sum(map(len, own))
-            parts.append(np.array([[count, -1, 0]], np.int32))
-            parts += own
+            file, count = self._file(lane), sum(map(len, own))
+            fd, written, _ = file
+            together.setdefault(lane // self.share, []).extend((np.array([[count, -1, 0]], np.int32), *own))
             if head[lane] < 0:
-                head[lane] = self.written
+                head[lane] = written
             else:
-                os.pwrite(fd, self.written.to_bytes(4, "little"), 12 * int(tail[lane]) + 4)
-            tail[lane] = self.written
-            self.written += count + 1
-        data = np.concatenate(parts).tobytes()
-        os.pwrite(fd, data, 12 * self.written - len(data))
+                os.pwrite(fd, written.to_bytes(4, "little"), 12 * int(tail[lane]) + 4)
+            tail[lane] = written
+            file[1] += count + 1
+        for k, parts in together.items():
+            data = np.concatenate(parts).tobytes()
+            os.pwrite(self.files[k][0], data, 12 * self.files[k][1] - len(data))
+
+    def _close(self, k: int) -> None:
+        fd, _, path = self.files.pop(k)
+        os.close(fd)
+        os.unlink(path)
 
     def enter(self, lane: int) -> None:
-        """From now on tuples are taken from this lane."""
+        """From now on tuples are taken from this lane, and from no lane before it."""
+        before = self.current // self.share
+        if self.current >= 0 and lane // self.share != before and before in self.files:
+            self._close(before)
         self.current, self.own, self.skip = lane, self.memory.pop(lane, []), 0
         self.held -= sum(map(len, self.own))
         if self.fresh:
@@ -336,8 +382,9 @@ class Queue:
 
     def take(self, most: int) -> np.ndarray:
         """The next tuples of the current lane, at least one if there are any."""
-        out, n, fd = [], 0, self.file.fileno()
+        out, n = [], 0
         while (at := int(self.head[self.current])) >= 0 and n < most:
+            fd = self.files[self.current // self.share][0]
             count, following, _ = np.frombuffer(os.pread(fd, 12, 12 * at), np.int32).tolist()
             some = min(count - self.skip, most - n)
             out.append(np.frombuffer(os.pread(fd, 12 * some, 12 * (at + 1 + self.skip)), np.int32).reshape(-1, 3))
@@ -352,8 +399,8 @@ class Queue:
         return np.concatenate(out) if len(out) > 1 else out[0] if out else NONE
 
     def close(self) -> None:
-        self.file.close()
-        os.unlink(self.path)
+        for k in list(self.files):
+            self._close(k)
 
 
 SORTED = np.dtype([("at", "<i4"), ("common", "u1")])
@@ -525,18 +572,8 @@ def _lanes(symbols: np.ndarray, counts: np.ndarray, size: int, slot: int = -1) -
 def sort_level(level: Level) -> Stream:
     """The suffixes of a level in falling order as records (at, common): the common prefix with the one before, which is greater."""
     scratch = level.scratch
-    per, words = (62 // level.bits, 2) if level.places is None else (2, 3)
-    width = per * words
-    at, star = level.samples(width)
-    m = at.n
-    records = Stream(scratch, [("key", "<u8", (words,)), ("number", "<i4")])
-    for first in range(0, m, scratch.chunk):
-        starts, stars = at.at(first, min(scratch.chunk + 1, m - first)), star.at(first, min(scratch.chunk + 1, m - first))
-        if first + scratch.chunk >= m:  # the last piece is the last symbol
-            starts, stars = np.append(starts, starts[-1]), np.append(stars, True)
-        part = np.empty(len(starts) - 1, records.dtype)
-        part["key"], part["number"] = piece_keys(level, starts[:-1].astype(np.int64), starts[1:].astype(np.int64), stars[1:], words, per), np.arange(first, first + len(part))
-        records.put(part)
+    samples = Pieces(level, *level.samples(12 if level.places is None else 6))
+    at, star, m = samples.where, samples.star, samples.n
 
     names, order = scratch.array(m, np.int32), Stream(scratch, np.int32)
     # about so many suffixes in a lane that few put something into their own
@@ -544,7 +581,7 @@ def sort_level(level: Level) -> Stream:
     lanes, heavy = Stream(scratch, np.int64), Stream(scratch, bool)
     done, distinct, slot, name = 0, 0, -1, -1
     held: tuple[np.ndarray, None] | None = None
-    for part in sorted_records(scratch, records, words):
+    for part in sorted_records(scratch, samples, samples.words):
         key = part["key"]
         new = np.concatenate(([held is None or bool((key[0] != held).any())], (key[1:] != key[:-1]).any(1)))
         held = key[-1].copy()
@@ -609,7 +646,7 @@ def sort_level(level: Level) -> Stream:
 def _shifted(rising: Stream) -> Iterator[np.ndarray]:
     """Records in falling order, each with its common prefix with the greater one."""
     carried = 0
-    for part in rising.chunks(backward=True):
+    for part in rising.backward():
         out = part.copy()
         out["common"][0], out["common"][1:] = carried, part["common"][:-1]
         carried = int(part["common"][-1])
@@ -619,7 +656,7 @@ def _shifted(rising: Stream) -> Iterator[np.ndarray]:
 def _rising(falling: Stream) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(at, common with the smaller one) in rising order, from records in falling order."""
     carried = 0
-    for part in falling.chunks(backward=True):
+    for part in falling.backward():
         common = np.append(carried, part["common"][:-1]).astype(np.uint8)
         carried = int(part["common"][-1])
         yield part["at"], common

@@ -26,9 +26,9 @@ from attestor.llm.tables import by_size, in_small_batches, settle
 
 LENGTH = 100
 #: Lengths of grams, for all strings and for those of frequent minimisers.
-GRAMS = (40, 70, 99)
+GRAMS = (24, 70, 99)
 #: Bytes of text whose segments one bucket compares, of segments that one shard sorts, and of text in one partition.
-BUCKET_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 4 << 20, 16 << 20
+BUCKET_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 3 << 20, 16 << 20
 #: Bytes of different segments of one minimiser beyond which they are dealt out again.
 HOT_BYTES = 4 << 20
 #: Segments that a task holds back because they repeat in it.
@@ -54,11 +54,12 @@ def unpack(data: bytes, n: int, columns: int) -> list[np.ndarray]:
 
 
 class Records:
-    """Segments: the minimiser, 32 bits of it once sent; both halves of the digest; id, tag, start, stop; whether a string may repeat within."""
+    """Segments: the minimiser, 32 bits of it once sent; both halves of the digest; three 16-bit hashes of what stands around
+    the minimiser; id, tag, start, stop; whether a string may repeat within."""
 
     def __init__(self, *columns: np.ndarray):
         self.columns = columns
-        self.least, self.d1, self.d2, self.ids, self.tags, self.start, self.stop, self.loops = columns
+        self.least, self.d1, self.d2, self.around, self.ids, self.tags, self.start, self.stop, self.loops = columns
 
     def __len__(self) -> int:
         return len(self.least)
@@ -71,7 +72,7 @@ class Records:
         return Records(*(np.concatenate(x) for x in zip(*(p.columns for p in parts), strict=True)))
 
     def to_bytes(self) -> dict:
-        return {"n": len(self), "hashes": b"".join(x.astype(t).tobytes() for x, t in ((self.least, np.uint32), (self.d1, np.uint64), (self.d2, np.uint64))), "places": pack([self.ids, self.tags, self.start, self.stop - self.start, self.loops])}
+        return {"n": len(self), "hashes": b"".join(x.astype(t).tobytes() for x, t in ((self.least, np.uint32), (self.d1, np.uint64), (self.d2, np.uint64), (self.around[:, 0], np.uint16), (self.around[:, 1], np.uint16), (self.around[:, 2], np.uint16))), "places": pack([self.ids, self.tags, self.start, self.stop - self.start, self.loops])}
 
     @staticmethod
     def from_rows(rows: list[dict]) -> Records:
@@ -79,7 +80,7 @@ class Records:
         for r in rows:
             n = r["n"]
             ids, tags, start, size, loops = unpack(r["places"], n, 5)
-            parts.append(Records(np.frombuffer(r["hashes"], np.uint32, n), *(np.frombuffer(r["hashes"], np.uint64, n, k * n) for k in (4, 12)), ids, tags, start, start + size, loops))
+            parts.append(Records(np.frombuffer(r["hashes"], np.uint32, n), *(np.frombuffer(r["hashes"], np.uint64, n, k * n) for k in (4, 12)), np.frombuffer(r["hashes"], np.uint16, 3 * n, 20 * n).reshape(3, n).T, ids, tags, start, start + size, loops))
         return Records.joined(parts)
 
     def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,6 +104,9 @@ class Hashes:
         up, self.down = powers.upto(n)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)))
 
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
     def grams(self, size: int) -> np.ndarray:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
@@ -135,7 +139,8 @@ def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[b
         return None
     sizes = np.array([len(p[2]) for p in pieces])
     data = b"".join(p[2] for p in pieces)
-    grams = Hashes(data, powers).grams(gram)
+    hashes = Hashes(data, powers)
+    grams = hashes.grams(gram)
     least = sliding_minimum(grams, length - gram + 1)
     piece = np.repeat(np.arange(len(pieces)), sizes)
     inside = piece[: len(least)] == piece[length - 1 :]
@@ -145,14 +150,20 @@ def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[b
     first, last = first[whole], last[whole] - 1
     # strings of a segment can only be equal if the minimiser occurs twice among their grams
     width = length - gram + 1
-    loops = occurrence(grams, least[first], first, 1, width) != occurrence(grams, least[first], last + width - 1, -1, width)
+    at = occurrence(grams, least[first], first, 1, width)
+    loops = at != occurrence(grams, least[first], last + width - 1, -1, width)
     last = last + length
+    # a string holds the minimiser and `rest` bytes around it, so two that are equal share one of three surroundings
+    rest, third, around = length - gram, (length - gram) // 3, np.zeros((len(first), 3), np.uint16)
+    for k, (left, right) in enumerate(((0, rest - third), (third, third), (rest - third, 0))):
+        has = np.flatnonzero((at - first >= left) & (last - at - gram >= right))
+        around[has, k] = hashes.of(at[has] - left, at[has] + gram + right) >> np.uint64(48) | np.uint64(1)
     view, digest = memoryview(data), hashlib.blake2b
     digests = np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
     own = piece[first]
     doc, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
     place = first - (np.cumsum(sizes) - sizes)[own] + offset[own] + bases[doc[own]]
-    return Records(least[first], digests[:, 0], digests[:, 1], ids[doc[own]], tags[doc[own]], place, place + last - first, loops.astype(np.int64))
+    return Records(least[first], digests[:, 0], digests[:, 1], around, ids[doc[own]], tags[doc[own]], place, place + last - first, loops.astype(np.int64))
 
 
 BLOBS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary())])
@@ -207,7 +218,8 @@ def _spans(records: Records, kind: int, key: np.ndarray | None = None) -> pa.Rec
 
 
 def _compare_segments(hot: int | None):
-    """Of a bucket: the repeats, and the segments in which strings may repeat: those whose minimiser has several different ones, or that loop."""
+    """Of a bucket: the repeats, and the segments in which strings may repeat: those that loop, and those that share their
+    minimiser with a different one that loops or has the same surroundings of it."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -225,8 +237,15 @@ def _compare_segments(hot: int | None):
         firsts = found.at(first)
         group = np.flatnonzero(np.concatenate(([True], firsts.least[1:] != firsts.least[:-1])))
         sizes = np.diff(np.append(group, len(firsts)))
-        big = np.repeat(np.add.reduceat(firsts.stop - firsts.start, group) > (hot or 1 << 62), sizes)
-        chosen = (np.repeat(sizes, sizes) > 1) | (firsts.loops > 0)
+        each = np.repeat(np.arange(len(group)), sizes)
+        loops = np.add.reduceat(firsts.loops, group)[each] > 0
+        shared = np.zeros(len(firsts), bool)
+        for k in range(3):
+            known = np.flatnonzero(firsts.around[:, k])
+            _, inverse, count = np.unique(each[known] << 16 | firsts.around[known, k], return_inverse=True, return_counts=True)
+            shared[known] |= count[inverse] > 1
+        chosen = (firsts.loops > 0) | (sizes[each] > 1) & (loops | shared)
+        big = np.add.reduceat(np.where(chosen, firsts.stop - firsts.start, 0), group)[each] > (hot or 1 << 62)
         shard_key = (firsts.least.astype(np.int64) << 31) ^ key[0].as_py()
         for kind, which in ((SORT, chosen & ~big), (AGAIN, chosen & big)):
             yield _spans(firsts.at(which), kind, shard_key[which])
