@@ -62,16 +62,16 @@ def binomial_greater(k: float, n: float, p: float) -> float:
     if any(x is None or math.isnan(x) for x in (k, n, p)):
         return math.nan
     k, n = int(k), int(n)
-    if k <= 0:
+    if k <= 0 or p >= 1 and k <= n:
         return 1.0
-    if k > n:
+    if k > n or p <= 0:
         return 0.0
     terms = (_log_choose(n, i) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1))
     return min(1.0, _decaying(terms))
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:
-    """Regularised incomplete Beta function, by Lentz's continued fraction."""
+    """Regularised incomplete Beta function, by Lentz's continued fraction, whose length grows with the root of a and b."""
     if x <= 0:
         return 0.0
     if x >= 1:
@@ -80,7 +80,7 @@ def beta_cdf(x: float, a: float, b: float) -> float:
         return 1 - beta_cdf(1 - x, b, a)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
     c, d, out = 1.0, 0.0, 1.0
-    for i in range(400):
+    for i in range(400 + 20 * math.isqrt(math.ceil(max(a, b)))):
         m = i // 2
         if i == 0:
             numerator = 1.0
@@ -93,6 +93,8 @@ def beta_cdf(x: float, a: float, b: float) -> float:
         out *= c * d
         if abs(1 - c * d) < 1e-14:
             break
+    else:
+        raise ArithmeticError(f"the incomplete Beta function of {x}, {a}, {b} does not converge")
     return min(1.0, max(0.0, front * (out - 1)))
 
 
@@ -128,6 +130,8 @@ def beta_hdi(a: float, b: float, mass: float = 0.95) -> tuple[float, float]:
 
 
 def beta_pdf(x: float, a: float, b: float) -> float:
+    if not (a > 0 and b > 0):
+        return math.nan
     if not 0 < x < 1:
         return 0.0
     return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + (a - 1) * math.log(x) + (b - 1) * math.log1p(-x))

@@ -33,34 +33,39 @@ def term_counts(mention: DataFrame, terms: list[str]) -> DataFrame:
     return mention.where(F.col("token").isin(terms)).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def pair_counts(mention: DataFrame, a_terms: list[str], b_terms: list[str]) -> DataFrame:
+def _asked(articles: DataFrame, terms: list[str], text: str) -> Column:
+    """The asked terms that an article has, each once."""
+    return F.array_intersect(F.split(F.lower(F.col(text)), "[^a-z]+"), F.array(*[F.lit(t) for t in dict.fromkeys(terms)]))
+
+
+def pair_counts(articles: DataFrame, a_terms: list[str], b_terms: list[str], text: str = "abstract") -> DataFrame:
     """Every pair of an A and a B term: a_count, b_count, ab_count; 0 where they never meet.
 
-    Counting needs no list of articles: each article gives the pairs of the asked terms that it has, and
-    pairs are counted with partial aggregation.
+    One scan and one aggregation: each article gives the asked terms and pairs of terms that it has, which are counted
+    before they are shuffled. articles has one row for each article.
     """
-    spark = mention.sparkSession
-    wanted = mention.where(F.col("token").isin(sorted({*a_terms, *b_terms})))
-    per_article = wanted.groupBy("pmid").agg(F.collect_set("token").alias("tokens"))
+    spark = articles.sparkSession
+    none = F.lit("")
+    has = articles.select(_asked(articles, [*a_terms, *b_terms], text).alias("tokens")).where(F.size("tokens") > 0)
 
     def of(terms: list[str]) -> Column:
         return F.array_intersect("tokens", F.array(*[F.lit(t) for t in dict.fromkeys(terms)]))
 
-    both = per_article.select(F.explode(of(a_terms)).alias("a_term"), of(b_terms).alias("bs")).select("a_term", F.explode("bs").alias("b_term"))
-    ab = both.groupBy("a_term", "b_term").agg(F.count("*").alias("ab_count"))
-    single = term_counts(mention, [*a_terms, *b_terms])
+    single = F.transform("tokens", lambda t: F.struct(t.alias("x"), none.alias("y")))
+    both = F.flatten(F.transform(of(a_terms), lambda a: F.transform(of(b_terms), lambda b: F.struct(a.alias("x"), b.alias("y")))))
+    counts = has.select(F.inline(F.concat(single, both))).groupBy("x", "y").agg(F.count("*").alias("n"))
     pairs = spark.createDataFrame([(a, b) for a in dict.fromkeys(a_terms) for b in dict.fromkeys(b_terms)], "a_term string, b_term string")
-    counted = pairs.join(ab, ["a_term", "b_term"], "left")
-    for side in ("a", "b"):
-        counted = counted.join(single.select(F.col("token").alias(f"{side}_term"), F.col("n").alias(f"{side}_count")), f"{side}_term", "left")
-    return counted.select("a_term", "b_term", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("a_count", "b_count", "ab_count")])
+    sides = F.array(F.struct(F.col("a_term").alias("x"), none.alias("y"), F.lit("a").alias("side")), F.struct(F.col("b_term").alias("x"), none.alias("y"), F.lit("b").alias("side")), F.struct(F.col("a_term").alias("x"), F.col("b_term").alias("y"), F.lit("ab").alias("side")))
+    asked = pairs.select("a_term", "b_term", F.inline(sides))
+    of_side = lambda side: F.coalesce(F.max(F.when(F.col("side") == side, F.col("n"))), F.lit(0)).alias(f"{side}_count")
+    return asked.join(counts, ["x", "y"], "left").groupBy("a_term", "b_term").agg(*map(of_side, ("a", "b", "ab")))
 
 
-def pair_pmids(mention: DataFrame, a_terms: list[str], b_terms: list[str]) -> DataFrame:
-    """(a_term, b_term, ab_pmids): the sorted articles that have both."""
-    a = mention.where(F.col("token").isin(a_terms)).select(F.col("token").alias("a_term"), "pmid")
-    b = mention.where(F.col("token").isin(b_terms)).select(F.col("token").alias("b_term"), "pmid")
-    return a.join(b, "pmid").groupBy("a_term", "b_term").agg(F.array_sort(F.collect_set("pmid")).alias("ab_pmids"))
+def pair_articles(articles: DataFrame, a_terms: list[str], b_terms: list[str], text: str = "abstract") -> DataFrame:
+    """Rows (a_term, b_term, pmid) of the articles that have both; a map over the articles."""
+    of = lambda terms: F.array_intersect("tokens", F.array(*[F.lit(t) for t in dict.fromkeys(terms)]))
+    has = articles.select("pmid", _asked(articles, [*a_terms, *b_terms], text).alias("tokens"))
+    return has.select("pmid", F.explode(of(a_terms)).alias("a_term"), of(b_terms).alias("bs")).select("a_term", F.explode("bs").alias("b_term"), "pmid")
 
 
 def sort_ratio(both: Column, single: Column) -> Column:
@@ -88,11 +93,16 @@ def best_chain(paths: DataFrame, by: Column, keys: list[str]) -> DataFrame:
     return paths.withColumn("chain_value", by).groupBy(*keys).agg(F.max(F.struct("chain_value", F.struct(*[F.col(c) for c in paths.columns if c not in keys]))).alias("best")).select(*keys, "best.chain_value", "best.col2.*")
 
 
+def top(hits: DataFrame, n: int, by: str, keys: list[str], rank: str) -> DataFrame:
+    """The n rows of each key with the greatest `by`, ranked, ties by pmid. As the rank is limited, each task keeps n rows of a key before any shuffle."""
+    ranked = hits.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(by), "pmid")))
+    return ranked.where(F.col(rank) <= n)
+
+
 def top_cited_and_recent(hits: DataFrame, n_cited: int, n_recent: int, keys: list[str]) -> DataFrame:
     """The n most cited and the n most recent articles of each key, without repeats; hits has citations, pub_year and pmid."""
-    cited = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("citations"), "pmid"))
-    recent = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("pub_year"), "pmid"))
-    return hits.withColumns({"cited_rank": cited, "recent_rank": recent}).where((F.col("cited_rank") <= n_cited) | (F.col("recent_rank") <= n_recent))
+    cited, recent = top(hits, n_cited, "citations", keys, "_rank").drop("_rank"), top(hits, n_recent, "pub_year", keys, "_rank").drop("_rank")
+    return cited.unionByName(recent).dropDuplicates([*keys, "pmid"])
 
 
 def year_series(articles: DataFrame, a_terms: list[str], b_terms: list[str], years: list[int], text: str = "abstract") -> DataFrame:

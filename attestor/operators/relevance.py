@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.operators.selection import RANGE, numbered
+
 #: Characters of an abstract that a relevance prompt holds; the hypothesis is never cut.
 LONGEST_ABSTRACT = 9000
 
@@ -105,5 +107,6 @@ def flags_to_list(flags: Column, values: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(flags.alias("f"), values.alias("v")), lambda x: x["f"] == 1), lambda x: x["v"])
 
 
-def position_in(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def position_in(rows: DataFrame, keys: list[str], by: str = "pmid") -> DataFrame:
+    """rows with pos, their place from 0 on within each key in order of a whole number; no task holds a key."""
+    return numbered(rows, keys, [F.floor(F.col(by) / RANGE)], [F.col(by)], "pos").withColumn("pos", F.col("pos") - 1)

@@ -26,8 +26,10 @@ def cell_type_summary(rows: DataFrame, cluster: str = "cluster", cell_type: str
     return rows.groupBy(cluster, cell_type).agg(F.avg(F.when(score != 0, score)).alias("mean_score"), genes(score > 0).alias("supporting"), genes(score < 0).alias("refuting"), F.count(score).alias("n_scores"))
 
 
-def merged_runs(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list("score")).alias("scores"), F.array_sort(F.collect_set("gene")).alias("genes"))
+def merged_runs(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """Of each key the scores of all its runs in order of time, and its genes."""
+    in_time = F.array_sort(F.collect_list(F.struct(time, "score")))
+    return rows.groupBy(*keys).agg(F.transform(in_time, lambda x: x["score"]).alias("scores"), F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
 def year_means(rows: DataFrame, keys: list[str], values: list[str], spread: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -54,10 +55,34 @@ def within_budget(rows: DataFrame, keys: list[str], tokens: Column, budget: int,
     return rows.withColumn("running_tokens", running).where(F.col("running_tokens") <= budget // lists)
 
 
+def numbered(rows: DataFrame, keys: list[str], coarse: list[Column], fine: list[Column], name: str) -> DataFrame:
+    """rows with their number within each key, from 1 on, in order of coarse, then fine.
+
+    coarse cuts a key's rows into ranges that a task can hold: windows number the rows of one range, and the rows of the
+    ranges before it are added from a table with one row for each key and range, so no task has to hold a key.
+    """
+    parts = [f"_range{i}" for i in range(len(coarse))]
+    bare = [c for c, _ in map(_direction, coarse)]
+    ordered = [F.desc(p) if down else F.asc(p) for p, (_, down) in zip(parts, map(_direction, coarse), strict=True)]
+    cut = rows.withColumns(dict(zip(parts, bare, strict=True))).withColumn("_within", F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*fine)))
+    sizes = cut.groupBy(*keys, *parts).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    return cut.join(before, [*keys, *parts]).withColumn(name, F.col("_within") + F.col("_before")).drop("_within", "_before", *parts)
+
+
+def _direction(c: Column | tuple[Column, bool]) -> tuple[Column, bool]:
+    return c if isinstance(c, tuple) else (c, False)
+
+
+#: Positions in one range of numbered().
+RANGE = 1 << 16
+
+
 def by_recency(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with an article, ranked from the latest year on; unknown years are 0, ties keep their order."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.coalesce("pub_year", F.lit(0))), "pos"))
-    return rows.where(F.coalesce(F.col("pmid").cast("string"), F.lit("")) != "").withColumn("recent_rank", rank)
+    year = F.coalesce("pub_year", F.lit(0))
+    there = rows.where(F.coalesce(F.col("pmid").cast("string"), F.lit("")) != "")
+    return numbered(there, keys, [(year, True), F.floor(F.col("pos") / RANGE)], [F.col("pos")], "recent_rank")
 
 
 def interleave_ratio(cited: int, recent: int) -> float:
@@ -66,43 +91,50 @@ def interleave_ratio(cited: int, recent: int) -> float:
     return cited / recent
 
 
+def _turns(cited: list, recent: list, ratio: float) -> Iterator[tuple[list, bool]]:
+    """The articles of each turn, and whether it belongs to the merge proper: the longer side's share, then one of the other.
+
+    With ratio 1 a turn is one of each. Otherwise, before the other side's j-th article (counted from 0) the leading side
+    has given round(j * ratio) of its own; when the other side is used up, one at a time follows. What the other side has
+    left when the leading one is used up does not belong to the merge proper.
+    """
+    if ratio == 1:
+        for k in range(max(len(cited), len(recent))):
+            yield cited[k : k + 1] + recent[k : k + 1], True
+        return
+    leading, other = (cited, recent) if ratio > 1 else (recent, cited)
+    given = taken = 0
+    while given < len(leading):
+        share = round(taken * ratio) if ratio > 1 else round(taken / ratio) if ratio else len(leading)
+        upto = max(given, min(share, len(leading)))
+        turn = leading[given:upto]
+        if taken < len(other):
+            yield turn + [other[taken]], True
+            given, taken = upto, taken + 1
+        else:
+            yield turn + leading[upto : upto + 1], True
+            given = upto + 1
+    for x in other[taken:]:
+        yield [x], False
+
+
 def interleaved(cited: list, recent: list, ratio: float = 1.0, n: int | None = None, compatible: bool = False) -> list:
     """Cited and recent articles in turn, ratio cited ones for each recent one, without repeats, n at most.
 
-    compatible stops at the first turn that adds nothing; otherwise all articles find a place. An infinite
-    ratio gives the cited order alone.
+    compatible stops at the first turn that adds nothing, and leaves out what the less frequent side has left at the end;
+    otherwise all articles find a place. An infinite ratio gives the cited order alone.
     """
-    out: list = []
-    seen: set = set()
-
-    def add(x) -> bool:
-        if x is None or x == "" or x in seen or n is not None and len(out) >= n:
-            return False
-        seen.add(x)
-        out.append(x)
-        return True
-
-    i = j = step = 0
-    if math.isinf(ratio):
-        for x in cited:
-            add(x)
-        return out
-    while (i < len(cited) or j < len(recent)) and (n is None or len(out) < n):
-        if ratio >= 1:
-            upto_i, upto_j = round((step + 1) * ratio), step + 1
-        else:
-            upto_i, upto_j = step + 1, round((step + 1) / ratio) if ratio > 0 else len(recent)
-        added = False
-        while i < min(upto_i, len(cited)):
-            added |= add(cited[i])
-            i += 1
-        while j < min(upto_j, len(recent)):
-            added |= add(recent[j])
-            j += 1
-        step += 1
-        if compatible and not added:
+    out: dict = {}
+    for turn, proper in [([x], True) for x in cited] if math.isinf(ratio) else _turns(list(cited), list(recent), ratio):
+        before = len(out)
+        if n is not None and before >= n or compatible and not proper:
             break
-    return out
+        for x in turn:
+            if x is not None and x != "" and (n is None or len(out) < n):
+                out.setdefault(x)
+        if compatible and len(out) == before and not math.isinf(ratio):
+            break
+    return list(out)
 
 
 def interleave(cited: Column, recent: Column, ratio: float = 1.0, n: int | None = None, compatible: bool = False) -> Column:
@@ -115,12 +147,12 @@ def interleave(cited: Column, recent: Column, ratio: float = 1.0, n: int | None
     return run(cited, recent)
 
 
-def interleave_rows(rows: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
-    """interleaved() with ratio 1 for rows (keys, pmid, cited_rank, recent_rank from 1), in windows alone: an article's
-    slot is the earlier of its two turns."""
+def interleave_top(cited: DataFrame, recent: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The first n of interleaved() with ratio 1, by joins and windows over at most 2 n rows of each key: cited(keys, pmid,
+    cited_rank) and recent(keys, pmid, recent_rank) hold the first n of each order. An article's slot is the earlier of its two turns."""
+    both = cited.select(*keys, "pmid", "cited_rank").join(recent.select(*keys, "pmid", "recent_rank"), [*keys, "pmid"], "full")
     slot = F.least((F.col("cited_rank") - 1) * 2, (F.col("recent_rank") - 1) * 2 + 1)
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(slot, "pmid")))
-    return ranked.where(F.col("place") <= n) if n is not None else ranked
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(slot, "pmid"))).where(F.col("place") <= n)
 
 
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.functions.special import beta_interval_eti, beta_interval_hdi, beta_mle_fit, erfc
+from attestor.functions.special import beta_density, beta_interval_eti, beta_interval_hdi, beta_mle_fit, erfc
 
 #: Fixed value: the 99 % quantile used for intervals of odds ratios.
 Z99 = 2.576
@@ -68,27 +68,55 @@ def year_sentinel(terms: Column, n_lines: Column, n_terms: Column) -> Column:
     return F.when(n_lines == 0, "NOLINES").when((n_lines == 1) | (n_terms == 1), "ONLY1")
 
 
-def permutation_test(groups: DataFrame, keys: list[str], n: int = 10_000, seed: int = 0, statistic: str = "difference", split: str = "fixed") -> DataFrame:
-    """(keys, observed, p_value) for rows (keys, list1, list2). split "random" also draws the length of the first part."""
+#: Shuffled values that a permutation test holds at once.
+SHUFFLED = 1 << 20
+
+
+def _beyond(x: np.ndarray, y: np.ndarray, n: int, seed: int, statistic: str, split: str) -> tuple[float | None, float | None]:
+    """The observed difference or ratio of the sums of two lists, and the share of n shuffles that are as far out."""
+    if not len(x) + len(y):
+        return None, None
+    a, b = x.sum(), y.sum()
+    if statistic == "ratio":
+        observed = a / b if b else None
+    else:
+        observed = a - b
+    if observed is None:
+        return None, None
+    every, rng, count = np.concatenate([x, y]), np.random.default_rng(seed), 0
+    size = max(1, SHUFFLED // len(every))
+    for first in range(0, n, size):
+        m = min(size, n - first)
+        sums = np.zeros((m, len(every) + 1))
+        np.cumsum(rng.permuted(np.tile(every, (m, 1)), axis=1), axis=1, out=sums[:, 1:])
+        cut = rng.integers(0, len(every) + 1, m) if split == "random" else np.full(m, len(x))
+        head = sums[np.arange(m), cut]
+        rest = sums[:, -1] - head
+        if statistic == "ratio":
+            value = np.divide(head, rest, out=np.full(m, observed), where=rest != 0)  # a sum of 0 counts as the observed ratio
+            count += int((value >= observed).sum())
+        else:
+            count += int((head - rest >= observed).sum() if observed >= 0 else (head - rest <= observed).sum())
+    return float(observed), count / n
+
+
+def permutation_test(groups: DataFrame, keys: list[str], n: int = 10_000, seed: int = 0, statistic: str = "difference", split: str = "random") -> DataFrame:
+    """(keys, observed, p_value) for rows (keys, list1, list2): how often a shuffle of both lists parts into sums whose
+    difference, or ratio, is at least as far out, on the side of the observed one.
+
+    Each shuffle is cut at a random place, also at its ends; with split "fixed" where the first list ends. A null list, or
+    null in a list, is nothing; two empty lists, or a ratio to a sum of 0, give nulls.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields if f.name in keys)
 
+    def values(x) -> np.ndarray:
+        given = np.asarray([] if x is None else list(x), dtype=float)
+        return given[~np.isnan(given)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            observed, p = [], []
-            for one, two in zip(batch["list1"], batch["list2"], strict=True):
-                x, y = np.asarray(one, float), np.asarray(two, float)
-                every, rng = np.concatenate([x, y]), np.random.default_rng(seed)
-                measure = (lambda a, b: a / b if b else np.inf) if statistic == "ratio" else (lambda a, b: a - b)
-                seen = measure(x.mean(), y.mean())
-                total, beyond = every.sum(), 0
-                for _ in range(n):
-                    mixed = rng.permutation(every)
-                    cut = int(rng.integers(1, len(every))) if split == "random" else len(x)
-                    head = mixed[:cut].sum()
-                    beyond += measure(head / cut, (total - head) / (len(every) - cut)) >= seen
-                observed.append(seen)
-                p.append(beyond / n)
-            yield batch[keys].assign(observed=observed, p_value=p)
+            found = [_beyond(values(x), values(y), n, seed, statistic, split) for x, y in zip(batch["list1"], batch["list2"], strict=True)]
+            yield batch[keys].assign(observed=pd.Series([o for o, _ in found], dtype=float, index=batch.index), p_value=pd.Series([p for _, p in found], dtype=float, index=batch.index))
 
     return groups.mapInPandas(run, f"{fields}, observed double, p_value double")
 
@@ -110,9 +138,13 @@ def beta_moments(mean: Column, variance: Column) -> tuple[Column, Column]:
     return F.greatest(m * common, tiny), F.greatest((1 - m) * common, tiny)
 
 
-def beta_summary(units: DataFrame, keys: list[str], x: str = "x") -> DataFrame:
+#: How far from 0 and 1 scores are kept for a maximum-likelihood fit: the figures of the interval, and of the violin plot.
+CLIP, VIOLIN_CLIP = 1e-10, 1e-9
+
+
+def beta_summary(units: DataFrame, keys: list[str], x: str = "x", clip: float = CLIP) -> DataFrame:
     """mean, variance, and Beta parameters by moments (a_mom, b_mom) and by maximum likelihood (a_mle, b_mle) of each key."""
-    inside = F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), F.col(x)))
+    inside = F.least(F.lit(1 - clip), F.greatest(F.lit(clip), F.col(x)))
     stats = units.groupBy(*keys).agg(F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.avg(F.log(inside)).alias("_l"), F.avg(F.log1p(-inside)).alias("_m"))
     a, b = beta_moments(F.col("mean"), F.col("variance"))
     withs = stats.withColumns({"a_mom": a, "b_mom": b})
@@ -160,6 +192,22 @@ def draw_summary(draws: DataFrame, keys: list[str]) -> DataFrame:
     return draws.groupBy(*keys).agg(F.avg("value").alias("mean"), q.alias("q")).select(*keys, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+def density_curve(rows: DataFrame, keys: list[str], points: int = 500, a: str = "a", b: str = "b") -> DataFrame:
+    """(keys, x, density) of each row's Beta distribution at x = 1 / points, ..., 1 - 1 / points."""
+    at = rows.select(*keys, a, b, F.explode(F.transform(F.sequence(F.lit(1), F.lit(points - 1)), lambda i: i / points)).alias("x"))
+    return at.select(*keys, "x", beta_density(F.col("x"), F.col(a), F.col(b)).alias("density"))
+
+
+def kernel_density(draws: DataFrame, keys: list[str], points: int = 500, value: str = "value") -> DataFrame:
+    """(keys, x, density): Gaussian kernels on the draws of each key, of Scott's width, at x = 0, ..., 1. The sums are
+    taken over all draws, with partial aggregation, one column of the grid for each draw's neighbourhood of 8 widths."""
+    stats = draws.groupBy(*keys).agg((F.stddev_samp(value) * F.pow(F.count(value), F.lit(-0.2))).alias("_h"), F.count(value).alias("_n"))
+    near = draws.join(stats, keys).where("_h > 0").withColumns({"_low": F.greatest(F.lit(0), F.ceil((F.col(value) - 8 * F.col("_h")) * (points - 1))), "_high": F.least(F.lit(points - 1), F.floor((F.col(value) + 8 * F.col("_h")) * (points - 1)))})
+    spread = near.where("_low <= _high").withColumn("_i", F.explode(F.sequence("_low", "_high")))
+    z = (F.col("_i") / (points - 1) - F.col(value)) / F.col("_h")
+    return spread.groupBy(*keys, (F.col("_i") / (points - 1)).alias("x")).agg(F.sum(F.exp(-z * z / 2) / (F.col("_n") * F.col("_h") * (2 * np.pi) ** 0.5)).alias("density"))
+
+
 def sums_by_c(chains: DataFrame, keys: list[str]) -> DataFrame:
     """Of each C term (and further keys): sums of its chains' ratios and counts, and its own count."""
     return chains.groupBy(*keys).agg(

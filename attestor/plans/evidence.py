@@ -14,11 +14,8 @@ def pair_evidence(articles: DataFrame, relevant: DataFrame, a_terms: list[str],
     """A row for each pair whose one-sided Fisher p-value is below the threshold: counts, sort ratio, articles in the
     window of years, and the share of them that relevant(pmid) has."""
     total = articles.count()
-    mention = cooccurrence.mentions(articles)
-    kept = cooccurrence.significant(cooccurrence.with_fisher(cooccurrence.pair_counts(mention, a_terms, b_terms), total), threshold).where("ab_count > 0")
-    a = mention.where(F.col("token").isin(a_terms)).select(F.col("token").alias("a_term"), "pmid")
-    b = mention.where(F.col("token").isin(b_terms)).select(F.col("token").alias("b_term"), "pmid")
-    places = a.join(b, "pmid").join(cooccurrence.censored(articles, lower, upper).select("pmid"), "pmid", "left_semi")
+    kept = cooccurrence.significant(cooccurrence.with_fisher(cooccurrence.pair_counts(articles, a_terms, b_terms), total), threshold).where("ab_count > 0")
+    places = cooccurrence.pair_articles(cooccurrence.censored(articles, lower, upper), a_terms, b_terms)
     masked = places.join(relevant.select("pmid", F.lit(1).alias("mask")).distinct(), "pmid", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     ratios = relevance.relevance_ratio(masked, ["a_term", "b_term"])
     return kept.join(ratios, ["a_term", "b_term"], "left").select("a_term", "b_term", "a_count", "b_count", "ab_count", F.round("sort_ratio", 9).alias("sort_ratio"), F.coalesce("total", F.lit(0)).alias("in_window"), F.coalesce("relevant", F.lit(0)).alias("relevant"), F.round(F.coalesce("ratio", F.lit(0.0)), 9).alias("ratio"))

@@ -38,7 +38,7 @@ series AS (
   FROM has JOIN (SELECT unnest({YEARS})::INT AS date) ON pub_year <= date GROUP BY date)"""
 #: Judged comparisons, scores by iteration and entries, made from events.
 RUNS = """runs AS (
-  SELECT concat('t', user_id % 7) AS term, CAST(dayofmonth(ts) % 5 + 2018 AS INT) AS censor_year, CAST(event_id % 10 + 1 AS INT) AS iteration, event_id,
+  SELECT concat('t', user_id % 7) AS term, CAST(dayofmonth(ts) % 5 + 2018 AS INT) AS censor_year, CAST(event_id % 10 + 1 AS INT) AS iteration, event_id, user_id,
     CASE WHEN event_id % 11 = 0 THEN 'N/A' ELSE CAST(CAST(floor(least(value, 100.0)) AS INT) AS VARCHAR) END AS score, event_type,
     CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS INT) AS support_h1, CAST(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS INT) AS support_h2
   FROM events)"""

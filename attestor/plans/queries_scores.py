@@ -87,10 +87,10 @@ def cell_type_summary(spark, sf_dir):
     return reports.cell_type_summary(rows).withColumn("mean_score", F.round("mean_score", 6))
 
 
-@query(f"WITH {inputs.RUNS} SELECT term, event_type, count(*) AS n, md5(string_agg(score, ',' ORDER BY score)) AS digest FROM runs GROUP BY ALL")
+@query(f"WITH {inputs.RUNS} SELECT user_id, event_type, count(*) AS n, md5(string_agg(score, ',' ORDER BY event_id)) AS digest FROM runs GROUP BY ALL")
 def merged_runs(spark, sf_dir):
     rows = inputs.runs(spark, sf_dir).withColumn("gene", F.lit("g"))
-    return reports.merged_runs(rows, ["term", "event_type"]).select("term", "event_type", F.size("scores").cast("long").alias("n"), F.md5(F.array_join("scores", ",")).alias("digest"))
+    return reports.merged_runs(rows, ["user_id", "event_type"], "event_id").select("user_id", "event_type", F.size("scores").cast("long").alias("n"), F.md5(F.array_join("scores", ",")).alias("digest"))
 
 
 @query(f"""WITH {inputs.RUNS} SELECT censor_year, term, round(avg(support_h1), 6) AS support_h1_mean, round(avg(support_h2), 6) AS support_h2_mean, round(avg(TRY_CAST(score AS DOUBLE)), 6) AS s_mean, round(var_samp(TRY_CAST(score AS DOUBLE)), 4) AS s_variance FROM runs GROUP BY ALL""")
@@ -100,10 +100,10 @@ def per_year_means(spark, sf_dir):
     return out.select("censor_year", "term", *[F.round(c, 6).alias(c) for c in ("support_h1_mean", "support_h2_mean", "s_mean")], F.round("s_variance", 4).alias("s_variance"))
 
 
-@query(f"WITH {inputs.RUNS} SELECT censor_year, term, count(*) AS n FROM runs WHERE censor_year <= 2020 GROUP BY ALL")
+@query(f"WITH {inputs.RUNS} SELECT censor_year, term, count(*) AS n FROM runs GROUP BY ALL")
 def year_merge(spark, sf_dir):
     rows = inputs.runs(spark, sf_dir)
-    merged = reports.years_merged({y: rows.where(F.col("censor_year") == y).select("term", "score") for y in (2018, 2019, 2020)})
+    merged = reports.years_merged({y: rows.where(F.col("censor_year") == y).select("term", "score") for y in range(2018, 2023)})
     return merged.groupBy("censor_year", "term").agg(F.count("*").alias("n"))
 
 
@@ -141,10 +141,15 @@ def ztest(spark, sf_dir):
     return _series(spark, sf_dir).select("date", F.round(statistics.z_statistic(F.col("ab1"), F.col("b1"), F.col("ab2"), F.col("b2")), 6).alias("z"))
 
 
-@query()
+#: erfc(x) for x up to 6, beyond which it is 0 here: 1 less a series of positive terms.
+ERFC = "CASE WHEN {x} >= 6 THEN 0.0::DOUBLE WHEN {x} = 0 THEN 1.0::DOUBLE ELSE 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum([exp(2 * n * ln(2.0::DOUBLE) + (2 * n + 1) * ln({x}) + lgamma(n + 1.0) - lgamma(2 * n + 2.0)) FOR n IN range(0, 160)]) END"
+Z = "abs(ab1 / b1 - ab2 / b2) / sqrt((ab1 + ab2) / (b1 + b2) * (1 - (ab1 + ab2) / (b1 + b2)) * (1 / b1 + 1 / b2))"
+
+
+@query(f"""WITH {inputs.SERIES}, z AS (SELECT date, {Z} / sqrt(2.0::DOUBLE) AS x FROM series) SELECT date, round({ERFC.format(x='x')}, 8) + 0.0::DOUBLE AS p_value FROM z""")
 def ztest_p(spark, sf_dir):
     z = statistics.z_statistic(F.col("ab1"), F.col("b1"), F.col("ab2"), F.col("b2"))
-    return _series(spark, sf_dir).select("date", statistics.z_p_value(z).alias("p_value"))
+    return _series(spark, sf_dir).select("date", F.round(statistics.z_p_value(z), 8).alias("p_value"))
 
 
 @query(f"""WITH {inputs.SERIES} SELECT date, round(n * power(greatest(0, abs(ab1 * b2 - b1 * ab2) - n / 2), 2) / ((ab1 + b1)::DOUBLE * (ab2 + b2) * (ab1 + ab2) * (b1 + b2)), 6) AS chi_square FROM (SELECT *, ab1 + b1 + ab2 + b2 AS n FROM series)""")
@@ -170,10 +175,13 @@ def ci_or_km(spark, sf_dir):
     return _series(spark, sf_dir).select("date", *[F.round(c, 6).alias(n) for c, n in ((l1, "low1"), (h1, "high1"), (l2, "low2"), (h2, "high2"))], statistics.disjoint_p(l1, h1, l2, h2).alias("p_value"))
 
 
-@query()
+@query(f"""WITH {inputs.SERIES}, k AS (
+  SELECT date, ab1, unnest(range(greatest(0, a_count + b1 - total), least(a_count, b1) + 1)) AS k, a_count AS a, b1 AS b, total AS t FROM series),
+p AS (SELECT date, k = ab1 AS own, lgamma(a + 1.0) - lgamma(k + 1.0) - lgamma(a - k + 1.0) + lgamma(t - a + 1.0) - lgamma(b - k + 1.0) - lgamma(t - a - b + k + 1.0) - lgamma(t + 1.0) + lgamma(b + 1.0) + lgamma(t - b + 1.0) AS l FROM k)
+SELECT date, round(log10(greatest(least(1.0, sum(exp(l))), 1e-300)), 4) + 0.0::DOUBLE AS log_p FROM p JOIN (SELECT date, l AS mine FROM p WHERE own) USING (date) WHERE l <= mine + 1e-7 GROUP BY date""")
 def fisher_two_sided(spark, sf_dir):
     d = [F.col(c).cast("double") for c in ("ab1", "a_count", "b1", "total")]
-    return _series(spark, sf_dir).select("date", special.fisher_two_sided_p(*d).alias("p_value"))
+    return _series(spark, sf_dir).select("date", F.round(F.log10(F.greatest(special.fisher_two_sided_p(*d), F.lit(1e-300))), 4).alias("log_p"))
 
 
 BINOMIAL = """SELECT date, round(log10(greatest(least(1.0, sum(exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) + n * ln(0.5)))), 1e-300)), 4) + 0.0::DOUBLE AS log_p
@@ -267,10 +275,15 @@ def posterior_summary(spark, sf_dir):
     return statistics.draw_summary(statistics.beta_draws(_posteriors(spark, sf_dir), ["term"], "a", "b", 1000, 7), ["term"])
 
 
-@query()
+POSTERIOR = f"""{UNITS}, {PRIOR[len(inputs.RUNS) + 2 :]},
+k AS (SELECT term, mean * (mean * (1 - mean) / v - 1) AS a0, (1 - mean) * (mean * (1 - mean) / v - 1) AS b0 FROM m),
+post AS (SELECT term, a0 + a AS a, b0 + b AS b FROM k JOIN pr USING (term))"""
+
+
+@query(f"""WITH {POSTERIOR}, g AS (SELECT term, a, b, unnest(range(1, 500)) / 500 AS x FROM post)
+SELECT term, round(x, 9) AS x, round(exp((a - 1) * ln(x) + (b - 1) * ln(1 - x) + lgamma(a + b) - lgamma(a) - lgamma(b)), 6) AS density FROM g""")
 def beta_density(spark, sf_dir):
-    grid = spark.range(1, 100).select((F.col("id") / 100).alias("x"))
-    return _posteriors(spark, sf_dir).crossJoin(grid).select("term", "x", special.beta_density(F.col("x"), F.col("a"), F.col("b")).alias("density"))
+    return statistics.density_curve(_posteriors(spark, sf_dir), ["term"], 500).select("term", F.round("x", 9).alias("x"), F.round("density", 6).alias("density"))
 
 
 @query(f"WITH {inputs.RUNS} SELECT event_id, CASE WHEN p = 0 THEN 300.0::DOUBLE ELSE round(-log10(p), 6) + 0.0::DOUBLE END AS neg_log10 FROM (SELECT event_id, TRY_CAST(score AS DOUBLE) / 100 AS p FROM runs)")
@@ -284,9 +297,9 @@ chains AS (SELECT p.a_term, p.b_term, c_term, a_count, b_count, ab_count, bc_cou
 
 
 def _chains(spark, sf_dir):
-    mention = cooccurrence.mentions(inputs.articles(spark, sf_dir))
-    ab = cooccurrence.pair_counts(mention, inputs.A_TERMS, inputs.B_TERMS).where("ab_count > 0")
-    bc = cooccurrence.pair_counts(mention, inputs.B_TERMS, inputs.C_TERMS).where("ab_count > 0")
+    rows = inputs.articles(spark, sf_dir)
+    ab = cooccurrence.pair_counts(rows, inputs.A_TERMS, inputs.B_TERMS).where("ab_count > 0")
+    bc = cooccurrence.pair_counts(rows, inputs.B_TERMS, inputs.C_TERMS).where("ab_count > 0")
     bc = bc.select(F.col("a_term").alias("b_term"), F.col("b_term").alias("c_term"), F.col("b_count").alias("c_count"), F.col("ab_count").alias("bc_count"))
     return cooccurrence.chains(ab, bc).withColumn("bc_sort_ratio", cooccurrence.sort_ratio(F.col("bc_count"), F.col("c_count")))
 
@@ -325,12 +338,11 @@ def difference_of_sums(spark, sf_dir):
 # ---- competition ----
 
 
-@query(f"""WITH {inputs.RUNS}, s AS (SELECT term, censor_year, avg(TRY_CAST(score AS DOUBLE)) AS m, count(TRY_CAST(score AS DOUBLE)) AS n, sum(support_h1) > 2 AS s1, sum(support_h2) > 2 AS s2 FROM runs WHERE event_id % 13 = 0 GROUP BY ALL)
-SELECT term, censor_year, CASE WHEN n = 0 THEN 'error' WHEN abs(m - 50) <= 15 AND s1 AND s2 THEN 'tie' WHEN abs(m - 50) <= 15 AND s1 THEN 'term1' WHEN abs(m - 50) <= 15 AND s2 THEN 'term2' WHEN abs(m - 50) <= 15 THEN 'eliminated' WHEN m > 50 THEN 'term1' ELSE 'term2' END AS outcome FROM s""")
+@query(f"""WITH {inputs.RUNS}, s AS (SELECT user_id, censor_year, avg(TRY_CAST(score AS DOUBLE)) AS m, count(TRY_CAST(score AS DOUBLE)) AS n, sum(support_h1) > 0 AS s1, sum(support_h2) > 0 AS s2 FROM runs GROUP BY ALL)
+SELECT user_id, censor_year, CASE WHEN n = 0 THEN 'error' WHEN abs(m - 50) <= 15 AND s1 AND s2 THEN 'tie' WHEN abs(m - 50) <= 15 AND s1 THEN 'term1' WHEN abs(m - 50) <= 15 AND s2 THEN 'term2' WHEN abs(m - 50) <= 15 THEN 'eliminated' WHEN m > 50 THEN 'term1' ELSE 'term2' END AS outcome FROM s""")
 def pair_winner(spark, sf_dir):
-    rows = inputs.runs(spark, sf_dir).where("event_id % 13 = 0")
-    scored = rows.groupBy("term", "censor_year").agg(F.avg(text.number(F.col("score"))).alias("m"), F.count(text.number(F.col("score"))).alias("n"), (F.sum("support_h1") > 2).alias("s1"), (F.sum("support_h2") > 2).alias("s2"))
-    return scored.select("term", "censor_year", competition.outcome(F.col("m"), F.col("n"), F.col("s1"), F.col("s2"), 15.0).alias("outcome"))
+    scored = competition.pair_scores(inputs.runs(spark, sf_dir), ["user_id", "censor_year"])
+    return scored.select("user_id", "censor_year", competition.outcome(F.col("mean_score"), F.col("n_scores"), F.col("support1"), F.col("support2"), 15.0).alias("outcome"))
 
 
 @query(f"WITH {inputs.RUNS} SELECT term, round(avg(TRY_CAST(score AS DOUBLE)), 6) AS mean_score, count(TRY_CAST(score AS DOUBLE)) AS n_scores, sum(support_h1) > 0 AS support1, sum(support_h2) > 0 AS support2 FROM runs GROUP BY term")
@@ -494,10 +506,24 @@ def bench_summary(spark, sf_dir):
     return out.withColumns({"elapsed_s": F.round("elapsed_s", 3), "throughput_rps": F.round("throughput_rps", 9), "avg_latency_s": F.round("avg_latency_s", 4)})
 
 
-@query()
+def _merged(ratio: float, cited: str, recent: str) -> str:
+    """SQL of interleaved(): cited and recent are the turns of the i-th article of either list, as (turn, side) in order."""
+    return f"""WITH c AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k) - 1 AS i FROM (SELECT DISTINCT user_id, event_id % 50 AS k FROM events)),
+r AS (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) - 1 AS i FROM (SELECT DISTINCT user_id, event_id % 31 AS k FROM events)),
+f AS (SELECT user_id, k, min((turn, side, i)) AS slot FROM (SELECT user_id, k, {cited}, i FROM c UNION ALL SELECT user_id, k, {recent}, i FROM r) GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY slot) AS place FROM f)
+SELECT user_id, {ratio} AS ratio, string_agg(CAST(k AS VARCHAR), ',' ORDER BY place) AS merged FROM n WHERE place <= 20 GROUP BY user_id"""
+
+
+#: (turn, side) of the i-th cited and recent article: two cited ones before each but the first recent one, and so on.
+INTERLEAVED = {2.0: ("i // 2 + 1 AS turn, 0 AS side", "i AS turn, 1 AS side"), 0.5: ("i AS turn, 1 AS side", "i // 2 + 1 AS turn, 0 AS side"), 1.0: ("i AS turn, 0 AS side", "i AS turn, 1 AS side")}
+
+
+@query(" UNION ALL ".join(f"SELECT user_id, CAST(ratio AS DOUBLE) AS ratio, merged FROM ({_merged(ratio, *turns)})" for ratio, turns in INTERLEAVED.items()))
 def interleave_exact(spark, sf_dir):
     lists = inputs.table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(F.col("event_id") % 50)).alias("cited"), F.sort_array(F.collect_set(F.col("event_id") % 31), asc=False).alias("recent"))
-    return lists.select("user_id", F.array_join(selection.interleave(F.col("cited"), F.col("recent"), 2.0, 20).cast("array<string>"), ",").alias("merged"))
+    parts = [lists.select("user_id", F.lit(ratio).alias("ratio"), F.array_join(selection.interleave(F.col("cited"), F.col("recent"), ratio, 20).cast("array<string>"), ",").alias("merged")) for ratio in INTERLEAVED]
+    return selection.union_all(*parts)
 
 
 @query("SELECT user_id, fingerprint FROM (SELECT user_id, substring(sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY md5(concat_ws(':', '5', CAST(event_id AS VARCHAR))))), 1, 8) AS fingerprint FROM events GROUP BY user_id)")

@@ -62,14 +62,14 @@ def pmid_urls(spark, sf_dir):
     return _citing(spark, sf_dir).select("doc_id", F.array_join(text.pmid_urls(F.col("t")), " ").alias("urls"))
 
 
-BODY = "concat('PMID: ', doc_id, ' ', substring(text, 1, 60), '===END OF ABSTRACT===', chr(10), '  second ', source, ' ===END OF ABSTRACT===', chr(10), chr(10), ' ===END OF ABSTRACT===  ', CASE WHEN doc_id % 2 = 0 THEN 'rest' ELSE '' END)"
+BODY = "concat('PMID: ', doc_id, ' ', coalesce(text, ''), '===END OF ABSTRACT===', chr(10), '  second ', source, ' ===END OF ABSTRACT===', chr(10), chr(10), ' ===END OF ABSTRACT===  ', CASE WHEN doc_id % 2 = 0 THEN 'rest' ELSE '' END)"
 
 
-@query(rf"""SELECT doc_id, len(p) AS n, array_to_string(p, '|') AS parts FROM (
+@query(rf"""SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest, list_transform(p, lambda x: length(x)) AS lengths FROM (
   SELECT doc_id, [y FOR y IN [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split({BODY}, '===END OF ABSTRACT===')] IF y <> ''] AS p FROM documents)""")
 def abstract_split(spark, sf_dir):
     parts = text.entries(F.expr(BODY))
-    return inputs.table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.array_join(parts, "|").alias("parts"))
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("n"), F.md5(F.array_join(parts, "|")).alias("digest"), F.transform(parts, lambda x: F.length(x).cast("long")).alias("lengths"))
 
 
 @query("""SELECT conv_id, count(*) AS n, md5(string_agg(concat(text, '===END OF ABSTRACT===', chr(10), chr(10)), '' ORDER BY turn)) AS digest
@@ -163,15 +163,15 @@ def term_alternatives(spark, sf_dir):
     return cooccurrence.term_mentions(cooccurrence.mentions(inputs.articles(spark, sf_dir)), asked).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {inputs.MENTION} SELECT a.token AS a_term, b.token AS b_term, count(*) AS n, md5(string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pmid)) AS digest
+@query(f"""WITH {inputs.MENTION} SELECT a.token AS a_term, b.token AS b_term, count(*) AS n, min(pmid) AS first, max(pmid) AS last, CAST(sum(pmid * 7919 % 1000003) AS BIGINT) AS checksum
 FROM mention a JOIN mention b USING (pmid) WHERE a.token IN {tuple(inputs.A_TERMS)} AND b.token IN {tuple(inputs.B_TERMS)} GROUP BY ALL""")
 def pair_intersection(spark, sf_dir):
-    found = cooccurrence.pair_pmids(cooccurrence.mentions(inputs.articles(spark, sf_dir)), inputs.A_TERMS, inputs.B_TERMS)
-    return found.select("a_term", "b_term", F.size("ab_pmids").cast("long").alias("n"), F.md5(F.array_join(F.col("ab_pmids").cast("array<string>"), ",")).alias("digest"))
+    found = cooccurrence.pair_articles(inputs.articles(spark, sf_dir), inputs.A_TERMS, inputs.B_TERMS)
+    return found.groupBy("a_term", "b_term").agg(F.count("*").alias("n"), F.min("pmid").alias("first"), F.max("pmid").alias("last"), F.sum(F.col("pmid") * 7919 % 1000003).alias("checksum"))
 
 
 def _pairs(spark, sf_dir):
-    return cooccurrence.pair_counts(cooccurrence.mentions(inputs.articles(spark, sf_dir)), inputs.A_TERMS, inputs.B_TERMS)
+    return cooccurrence.pair_counts(inputs.articles(spark, sf_dir), inputs.A_TERMS, inputs.B_TERMS)
 
 
 @query(f"WITH {inputs.PAIRS} SELECT a_term, b_term, a_count, b_count, ab_count, round(ab_count / nullif(b_count, 0), 9) AS sort_ratio FROM pairs")
@@ -190,9 +190,9 @@ BC = f"bc AS (SELECT b.token AS b_term, c.token AS c_term, count(*) AS bc_count
 
 
 def _chains(spark, sf_dir):
-    mention = cooccurrence.mentions(inputs.articles(spark, sf_dir))
-    ab = cooccurrence.pair_counts(mention, inputs.A_TERMS, inputs.B_TERMS).where("ab_count > 0").select("a_term", "b_term", "ab_count")
-    bc = cooccurrence.pair_counts(mention, inputs.B_TERMS, inputs.C_TERMS).where("ab_count > 0").select(F.col("a_term").alias("b_term"), F.col("b_term").alias("c_term"), F.col("ab_count").alias("bc_count"))
+    rows = inputs.articles(spark, sf_dir)
+    ab = cooccurrence.pair_counts(rows, inputs.A_TERMS, inputs.B_TERMS).where("ab_count > 0").select("a_term", "b_term", "ab_count")
+    bc = cooccurrence.pair_counts(rows, inputs.B_TERMS, inputs.C_TERMS).where("ab_count > 0").select(F.col("a_term").alias("b_term"), F.col("b_term").alias("c_term"), F.col("ab_count").alias("bc_count"))
     return cooccurrence.chains(ab, bc)
 
 
@@ -223,8 +223,9 @@ def topn_cited_recent(spark, sf_dir):
 
 @query(f"WITH {RANKED} SELECT token, pmid, row_number() OVER (PARTITION BY token ORDER BY least((cited_rank - 1) * 2, (recent_rank - 1) * 2 + 1), pmid) AS place FROM ranked QUALIFY place <= 25")
 def interleave_complete(spark, sf_dir):
-    ranked = cooccurrence.top_cited_and_recent(_hits(spark, sf_dir), 2**31 - 1, 0, ["token"])
-    return selection.interleave_rows(ranked, ["token"], 25).select("token", "pmid", F.col("place").cast("long").alias("place"))
+    hits = _hits(spark, sf_dir)
+    cited, recent = (cooccurrence.top(hits, 25, by, ["token"], rank) for by, rank in (("citations", "cited_rank"), ("pub_year", "recent_rank")))
+    return selection.interleave_top(cited, recent, ["token"], 25).select("token", "pmid", F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {RANKED} SELECT token, pmid, recent_rank FROM ranked")
@@ -264,8 +265,8 @@ POSITIONS = f"""{inputs.MENTION}, positions AS (
 
 def _positions(spark, sf_dir):
     mention = cooccurrence.mentions(inputs.articles(spark, sf_dir)).where(F.col("token").isin("que", "with"))
-    lists = mention.groupBy().agg(*[F.array_sort(F.collect_list(F.when(F.col("token") == t, F.col("pmid") * 2))).alias(t) for t in ("que", "with")])
-    return relevance.positions(lists, {"ab": "que", "bc": "with"}, {"ab": F.lit("h1"), "bc": F.lit("h2")}, [])
+    rows = mention.select(F.when(F.col("token") == "que", "ab").otherwise("bc").alias("intersection"), (F.col("pmid") * 2).alias("pmid"))
+    return relevance.position_in(rows, ["intersection"]).withColumn("hypothesis", F.when(F.col("intersection") == "ab", "h1").otherwise("h2"))
 
 
 @query(f"""WITH {POSITIONS} SELECT intersection, pos, p.pmid, CASE intersection WHEN 'ab' THEN 'h1' ELSE 'h2' END AS hypothesis, md5(coalesce(text, '')) AS digest FROM positions p LEFT JOIN documents d ON d.doc_id = p.pmid""")

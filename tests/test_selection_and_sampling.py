@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.operators import relevance, sampling, selection
@@ -71,7 +72,13 @@ def test_interleaving():
     assert selection.interleaved(list("abcd"), list("bacd"), compatible=True) == list("ab")
     assert selection.interleaved(list("abcd"), list("bacd")) == list("abcd")
     assert selection.interleaved([1, 2, 3], [7, 8, 9]) == [1, 7, 2, 8, 3, 9]
-    assert selection.interleaved([1, 2, 3, 4], [7, 8], 2.0, 5) == [1, 2, 7, 3, 4]
+    assert "".join(selection.interleaved(list("abcd"), list("xy"), 2.0, compatible=True)) == "xabycd"
+    assert "".join(selection.interleaved(list("xy"), list("abcd"), 0.5)) == "xabycd"
+    assert "".join(selection.interleaved(list("abcd"), list("xy"), 1.0)) == "axbycd"
+    assert "".join(selection.interleaved(list("ab"), list("xyz"), 2.0)) == "xabyz" and "".join(selection.interleaved(list("ab"), list("xyz"), 2.0, compatible=True)) == "xaby"
+    assert "".join(selection.interleaved(list("abcdefg"), list("xyz"), 1.5)) == "xabyczdefg"
+    assert "".join(selection.interleaved([], list("xy"), 0.0)) == "xy"
+    assert selection.interleaved([1, 2, 3, 4], [7, 8], 2.0, 5) == [7, 1, 2, 8, 3]
     assert selection.interleaved([1, "", None, 2], [], selection.interleave_ratio(5, 0)) == [1, 2]
     assert selection.interleave_ratio(0, 0) == 1.0 and selection.interleave_ratio(2, 4) == 0.5
 
@@ -131,3 +138,14 @@ def test_zipped_lists_must_match(spark):
     a, b = (spark.createDataFrame([(i, str(i)) for i in range(n)], f"pos int, {c} string") for n, c in ((2, "a"), (3, "b")))
     with pytest.raises(ValueError):
         selection.zip_terms(a, b)
+
+
+def test_numbers_within_keys_are_those_of_one_window(spark):
+    rows = spark.range(300_000).selectExpr("id * 7 AS pmid", "IF(id % 3 = 0, 'x', 'y') AS k", "CAST(1990 + id % 5 AS int) AS pub_year", "id * 7 AS pos")
+    got = relevance.position_in(rows, ["k"])
+    window = Window.partitionBy("k").orderBy("pmid")
+    assert got.drop("pos").join(rows.withColumn("want", F.row_number().over(window) - 1).select("pmid", "want"), "pmid").count() == 300_000
+    assert got.join(rows.select("pmid", (F.row_number().over(window) - 1).alias("want")), "pmid").where("pos <> want").count() == 0
+    recent = selection.by_recency(rows, ["k"])
+    by_year = Window.partitionBy("k").orderBy(F.desc("pub_year"), "pos")
+    assert recent.join(rows.select("pmid", F.row_number().over(by_year).alias("want")), "pmid").where("recent_rank <> want").count() == 0

@@ -82,7 +82,7 @@ def test_term_mentions_take_synonyms_and_conjunctions(spark):
 
 def test_counts_of_pairs_that_never_meet(spark):
     articles = spark.createDataFrame([(1, "a b"), (2, "a c"), (3, "b")], "pmid long, abstract string")
-    got = {(r["a_term"], r["b_term"]): (r["a_count"], r["b_count"], r["ab_count"]) for r in cooccurrence.pair_counts(cooccurrence.mentions(articles), ["a"], ["b", "c", "zz"]).collect()}
+    got = {(r["a_term"], r["b_term"]): (r["a_count"], r["b_count"], r["ab_count"]) for r in cooccurrence.pair_counts(articles, ["a"], ["b", "c", "zz"]).collect()}
     assert got == {("a", "b"): (2, 2, 1), ("a", "c"): (2, 1, 1), ("a", "zz"): (2, 0, 0)}
 
 

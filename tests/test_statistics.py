@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,9 +110,42 @@ def test_draws_depend_on_seed_and_key_alone(spark):
 
 def test_permutations(spark):
     rows = spark.createDataFrame([("far", [5.0, 6.0, 7.0, 8.0, 9.0], [0.0, 1.0, 2.0, 1.0, 0.0]), ("same", [1.0, 2.0], [1.0, 2.0])], "k string, list1 array<double>, list2 array<double>")
-    got = {r["k"]: r["p_value"] for r in statistics.permutation_test(rows, ["k"], 500, 1).collect()}
+    got = {r["k"]: r["p_value"] for r in statistics.permutation_test(rows, ["k"], 500, 1, split="fixed").collect()}
     assert got["far"] < 0.05 < got["same"]
-    assert statistics.permutation_test(rows, ["k"], 100, 1, "ratio", "random").count() == 2
+    # a random cut puts everything on one side once in len + 1 times
+    got = {r["k"]: (r["observed"], r["p_value"]) for r in statistics.permutation_test(rows, ["k"], 20_000, 1).collect()}
+    assert got["far"][0] == 31 and 1 / 11 < got["far"][1] < 0.25 and got["same"][0] == 0 and got["same"][1] > 0.5
+    turned = rows.select("k", F.col("list2").alias("list1"), F.col("list1").alias("list2"))
+    back = {r["k"]: (r["observed"], r["p_value"]) for r in statistics.permutation_test(turned, ["k"], 20_000, 1).collect()}
+    assert back["far"][0] == -31 and abs(back["far"][1] - got["far"][1]) < 0.03
+    ratio = {r["k"]: r["observed"] for r in statistics.permutation_test(rows, ["k"], 100, 1, "ratio").collect()}
+    assert ratio == {"far": 35 / 4, "same": 1.0}
+    odd = spark.createDataFrame([("a", None, [1.0, None]), ("b", [], []), ("c", None, None), ("d", [1.0], [0.0])], "k string, list1 array<double>, list2 array<double>")
+    assert {r["k"]: r["observed"] for r in statistics.permutation_test(odd, ["k"], 50, 1).collect()} == {"a": -1.0, "b": None, "c": None, "d": 1.0}
+    assert {r["k"]: r["observed"] for r in statistics.permutation_test(odd, ["k"], 50, 1, "ratio").collect()} == {"a": 0.0, "b": None, "c": None, "d": None}
+
+
+def test_tails_of_large_and_degenerate_parameters():
+    for a in (1e4, 1e6, 1e8):
+        assert special.beta_cdf(0.5, a, a) == pytest.approx(0.5, abs=1e-6)
+        low, high = special.beta_ppf(0.025, a, a), special.beta_ppf(0.975, a, a)
+        assert high - low == pytest.approx(2 * 1.959964 / (2 * (2 * a + 1) ** 0.5), rel=1e-3)
+    assert special.binomial_greater(3, 10, 0.0) == 0 and special.binomial_greater(3, 10, 1.0) == 1 and special.binomial_greater(0, 10, 0.0) == 1
+    assert np.isnan(special.beta_pdf(0.5, 0, 1))
+
+
+def test_the_clip_of_scores_of_0_and_1(spark):
+    units = spark.createDataFrame([("t", float(x)) for x in (0, 0, 1, 1, 0.5, 0.25)], "term string, x double")
+    fits = [statistics.beta_summary(units, ["term"], clip=c).first() for c in (1e-6, statistics.CLIP)]
+    assert fits[1]["a_mle"] < 0.75 * fits[0]["a_mle"]
+
+
+def test_density_curves(spark):
+    rows = spark.createDataFrame([("t", 2.0, 3.0)], "term string, a double, b double")
+    curve = statistics.density_curve(rows, ["term"])
+    assert curve.count() == 499 and curve.agg(F.sum("density") / 500).first()[0] == pytest.approx(1, abs=1e-3)
+    kde = statistics.kernel_density(statistics.beta_draws(rows, ["term"], "a", "b", 4000, 4), ["term"])
+    assert kde.where("x BETWEEN 0.1 AND 0.9").join(curve.select(F.round(F.col("x") * 499).alias("i"), "density").withColumnRenamed("density", "want"), F.round(F.col("x") * 499) == F.col("i")).where(F.abs(F.col("density") - F.col("want")) > 0.35).count() == 0
 
 
 def test_sentinels(spark):
