@@ -5,7 +5,8 @@ budget, however long the text is. A text is sorted in levels:
 
 1. Its suffixes of type S* (the first of a rising stretch) are sampled; the pieces from each sample to the next,
    cut after WIDTH symbols, are sorted by distribution over files and named by their place.
-2. Where names repeat, the string of names, at most half as long, is sorted by the same procedure.
+2. Where names repeat, the string of names, at most half as long, is sorted by the same procedure. The recursion ends
+   where names differ, or where a few names reach CAP symbols: these then order the suffixes.
 3. From the samples all other suffixes are induced, first those of type L in rising order, then those of type S in
    falling order. A queue on disk holds tuples (suffix, common-prefix values); suffixes come out by their first
    symbol and, for each symbol, in the order they were put in; each puts its predecessor in.
@@ -156,8 +157,6 @@ class Level:
     def __init__(self, scratch: Scratch, symbols: np.ndarray, n: int, places: np.ndarray | None, text: np.ndarray, lanes: np.ndarray, heavy: np.ndarray, bits: int):
         self.scratch, self.symbols, self.n, self.places, self.text = scratch, symbols, n, places, text
         self.lanes, self.heavy, self.bits = lanes, heavy, bits
-        self.is_s = scratch.array(n, bool)
-        self._types()
 
     def place(self, at: np.ndarray) -> np.ndarray:
         return at if self.places is None else self.places[at]
@@ -166,7 +165,9 @@ class Level:
         """How many symbols of the original text the symbols at these places stand for."""
         return np.ones(len(at), np.int64) if self.places is None else self.places[at + 1].astype(np.int64) - self.places[at]
 
-    def _types(self) -> None:
+    def types(self) -> None:
+        """Which suffixes are of type S."""
+        self.is_s = self.scratch.array(self.n, bool)
         chunk, after = self.scratch.chunk, True
         self.is_s[self.n - 1] = True
         for first in reversed(range(0, self.n - 1, chunk)):
@@ -280,6 +281,65 @@ def sorted_records(scratch: Scratch, records: Stream | Pieces, words: int, word:
         yield from sorted_records(scratch, parts[k], words, word + k % 2)
 
 
+#: Words of names that end the recursion if they reach CAP symbols, two names a word.
+WORDS = 8
+
+
+def reaches(level: Level) -> bool:
+    """Whether any 2 * WORDS names that follow each other, or those up to the end, are known to stand for CAP symbols."""
+    if level.places is None:
+        return False
+    for first in range(0, level.n, level.scratch.chunk):
+        at = np.arange(first, min(level.n, first + level.scratch.chunk))
+        stop = at + 2 * WORDS
+        if ((level.places[np.minimum(stop, level.n)].astype(np.int64) - level.places[at] < CAP) & (stop < level.n)).any():
+            return False
+    return True
+
+
+def by_windows(level: Level, suffixes: Stream | range, word: int = 0) -> Iterator[np.ndarray]:
+    """These suffixes of the level, which agree in `word` words, in order of their first WORDS words."""
+    n, chunk, scratch = (len(suffixes) if isinstance(suffixes, range) else suffixes.n), level.scratch.chunk, level.scratch
+    part_at = lambda first, count: np.arange(first, min(n, first + count), dtype=np.int32) if isinstance(suffixes, range) else suffixes.at(first, min(count, n - first))
+
+    def words(at: np.ndarray, k: int) -> np.ndarray:
+        one, two = (level.symbols[np.minimum(at.astype(np.int64) + 2 * k + i, level.n - 1)].astype(np.uint64) for i in (0, 1))
+        return one << np.uint64(32) | two
+
+    if n <= chunk or word == WORDS:
+        for first in range(0, n, chunk):
+            part = part_at(first, chunk)
+            if word < WORDS:
+                few = [words(part, k) for k in range(word, min(WORDS, word + 2))]
+                order = np.lexsort(few[::-1])
+                same = np.ones(len(part) - 1, bool)
+                for x in few:
+                    same &= x[order[1:]] == x[order[:-1]]
+                if same.any() and word + 2 < WORDS:
+                    order = np.lexsort([words(part, k) for k in range(WORDS - 1, word + 1, -1)] + few[::-1])
+                part = part[order]
+            yield part
+    else:
+        sample = np.concatenate([words(part_at(int(i), 16), word) for i in np.linspace(0, max(0, n - 16), 64).astype(np.int64)])
+        cuts = np.unique(np.sort(sample)[:: max(1, len(sample) // min(PARTS, 2 + 2 * n // chunk))])
+        parts: dict[int, Stream] = {}
+        for first in range(0, n, chunk):
+            found = part_at(first, chunk)
+            value = words(found, word)
+            part = np.searchsorted(cuts, value) + np.searchsorted(cuts, value, side="right")
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))).tolist()
+            for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+                k = int(part[order[a]])
+                if k not in parts:
+                    parts[k] = Stream(scratch, np.int32)
+                parts[k].put(found[order[a:b]])
+        for k in sorted(parts):
+            yield from by_windows(level, parts[k], word + k % 2)
+    if not isinstance(suffixes, range):
+        suffixes.drop()
+
+
 #: Columns of a queue's tuples: a suffix, the batch that put it in, and three minima of common prefixes in one number.
 AT, BATCH, HEAD, TAIL, INNER = 0, 1, 0, 8, 16
 NONE = np.zeros((0, 3), np.int32)
@@ -606,16 +666,20 @@ def sort_level(level: Level) -> Stream:
         places.put(level.place(part))
     places.put(np.array([len(level.text)]))
     starts, stars = at.mapped(), star.mapped()
+    below = Level(scratch, names, m, places.mapped(), level.text, np.array(lanes.mapped()), np.array(heavy.mapped()), 31)
+    found = None
     if distinct == m:
         rising = ((part, None) for part in order.chunks())
+    elif reaches(below):
+        rising = ((part, None) for part in by_windows(below, range(m)))
     else:
-        below = Level(scratch, names, m, places.mapped(), level.text, np.array(lanes.mapped()), np.array(heavy.mapped()), 31)
+        below.types()
         found = sort_level(below)
         rising = _rising(found)
     residents = Stream(scratch, SORTED)
     before, least = -1, CAP
     for part, common in rising:
-        if common is None:  # all names differ: nothing is induced below
+        if common is None:  # nothing was induced below
             common = level.common(np.append(max(before, 0), starts[part[:-1]]), starts[part])
             common[0] = common[0] if before >= 0 else 0
         before = int(starts[part[-1]])
@@ -629,7 +693,7 @@ def sort_level(level: Level) -> Stream:
         out = np.empty(len(kept), SORTED)
         out["at"], out["common"] = starts[part[kept]], values
         residents.put(out)
-    if distinct < m:
+    if found:
         found.drop()
     for stream in (at, star, order, lanes, heavy, places):
         stream.drop()
@@ -675,6 +739,7 @@ def sort_suffixes(text: np.ndarray, symbols: int, scratch: Scratch) -> Iterator[
     used = np.flatnonzero(counts)
     bits = max(2, symbols.bit_length())
     level = Level(scratch, text, n, None, text, used, counts[used] >= scratch.chunk, bits)
+    level.types()
     found = sort_level(level)
     yield from _rising(found)
     found.drop()

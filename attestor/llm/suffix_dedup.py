@@ -32,7 +32,7 @@ BUCKET_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 3 << 20, 16 << 20
 #: Bytes of different segments of one minimiser beyond which they are dealt out again.
 HOT_BYTES = 4 << 20
 #: Segments that a task holds back because they repeat in it.
-HELD = 1 << 16
+HELD = 1 << 13
 BATCH_BYTES, PIECE_BYTES = 1 << 20, 1 << 19
 NO_ID = (1 << 63) - 1
 
@@ -85,15 +85,21 @@ class Records:
 
     def split(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rows that are the first of their digests, in order of minimiser and digest, how many rows each stands for, and those that repeat one at another place."""
-        order = np.lexsort((self.start, self.tags, self.ids, self.d2, self.d1, self.least))
-        new = np.zeros(len(order), bool)
-        new[:1] = True
+        order = np.lexsort((self.d1, self.least))
+        new = np.ones(len(order), bool)
+        new[1:] = False
         for x in (self.least, self.d1, self.d2):
-            new[1:] |= x[order[1:]] != x[order[:-1]]
+            sorted_x = x[order]
+            new[1:] |= sorted_x[1:] != sorted_x[:-1]
         first = np.flatnonzero(new)
-        leader = order[first][np.cumsum(new) - 1]
-        again = (self.start[order] != self.start[leader]) | (self.tags[order] != self.tags[leader]) | (self.ids[order] != self.ids[leader])
-        return order[first], np.diff(np.append(first, len(order))), order[again]
+        count = np.diff(np.append(first, len(order)))
+        several = np.flatnonzero(np.repeat(count > 1, count))
+        if len(several):  # within a digest by place
+            rows, group = order[several], np.cumsum(new)[several]
+            order[several] = rows[np.lexsort((self.start[rows], self.tags[rows], self.ids[rows], group))]
+        rows, leader = order[several], order[first][np.cumsum(new) - 1][several]
+        again = (self.start[rows] != self.start[leader]) | (self.tags[rows] != self.tags[leader]) | (self.ids[rows] != self.ids[leader])
+        return order[first], count, rows[again]
 
 
 class Hashes:
@@ -269,17 +275,19 @@ def without_periods(segment: bytes, length: int) -> list[tuple[int, int]]:
     Of a stretch of one period p, all strings but the first p that lie within it repeat the one p bytes before. Whole
     periods are taken out of its middle, so that what is left still shows this.
     """
-    if len(segment) < 8 * length:
-        return [(0, len(segment))]
-    data, cuts, free = np.frombuffer(segment, np.uint8), [], 0
-    for p in range(1, length):
-        same = np.flatnonzero(np.diff(np.concatenate(([0], (data[p:] == data[:-p]).astype(np.int8), [0]))))
-        for a, b in zip(same[::2].tolist(), (same[1::2] + p).tolist(), strict=True):
-            a = max(a, free)
-            gone = (b - a - 3 * (length + p)) // p * p
-            if gone > length and all(b <= x or a >= y for x, y in cuts):
-                cuts.append((a + length + p, a + length + p + gone))
-    cuts.sort()
+    cuts, at = [], 0
+    while at + 3 * length <= len(segment):
+        p = segment.find(segment[at + length : at + 2 * length], at + length + 1) - at - length
+        stop = 0
+        if 0 < p < length:
+            data = np.frombuffer(segment, np.uint8)
+            differ = np.flatnonzero(data[at + length + p :] != data[at + length : len(data) - p])
+            stop = at + length + p + int(differ[0]) if len(differ) else len(segment)
+            # the stretch begins before, but what is left of it from here on is enough
+            gone = (stop - at - length - 2 * (length + p)) // p * p
+            if gone > 0:
+                cuts.append((at + 2 * length + p, at + 2 * length + p + gone))
+        at = max(at + length, stop - length)
     edges = [0, *(x for cut in cuts for x in cut), len(segment)]
     return list(zip(edges[::2], edges[1::2], strict=True))
 
@@ -440,7 +448,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def gathered(found: DataFrame, kind: int) -> DataFrame:
         wanted = found.where(F.col("kind") == kind).groupBy("id", "tag").agg(F.collect_list(F.struct("start", "stop", "key")).alias("found"))
-        return placed.join(wanted, ["id", "tag"]).select("id", "tag", "text", "found").mapInArrow(_bytes_of, "key long, id long, tag long, base long, text binary")
+        # with doc_id, so that one exchange of the texts serves all
+        return placed.join(wanted, ["id", "tag"]).select("id", "tag", "doc_id", "text", "found").mapInArrow(_bytes_of, "key long, id long, tag long, base long, text binary")
 
     parts, found, level, n = [], [], source.select("id", "tag", F.lit(0).cast("long").alias("base"), "text"), size
     for k, gram in enumerate(grams):
