@@ -33,6 +33,7 @@ BATCH_BYTES = 1 << 20
 POINTS = 200_000
 #: Texts in a block of a leader's group; columns of a product of rows.
 BLOCK, COLUMNS = 128, 2048
+HOT = 512
 
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -279,8 +280,8 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     source = named.select("*", F.monotonically_increasing_id().alias("row"))
     signed = settle(source.mapInArrow(_sign, "doc_id long, content string, row long, digest string, bands array<long>"), "signed")
     # a node is a bag, numbered once the table is written
-    bags = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "content")).alias("first"), F.first("bands").alias("bands"))
-    firsts = settle(bags.select("digest", "first", "bands", F.monotonically_increasing_id().alias("node")), "firsts")
+    bags = signed.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "content")).alias("first"), F.first("bands").alias("bands"), F.count("*").alias("n"))
+    firsts = settle(bags.select("digest", "first", "bands", "n", F.monotonically_increasing_id().alias("node")), "firsts")
     bands = settle(firsts.select(F.explode("bands").alias("key"), "node"), "bands", narrow=True)
     shared = settle(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared", narrow=True)
     buckets = settle(bands.join(fitting(shared), "key").select("key", "n", "node"), "buckets", narrow=True)
@@ -295,8 +296,12 @@ def _decide(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
     labels = components(links)
     labelled = firsts.join(labels, "node").select("digest", "label", "first")
     heads = labelled.groupBy("label").agg(F.min("first").alias("head"))
-    classes = firsts.select("digest", "first").join(labelled.join(heads, "label").select("digest", "head"), "digest", "left").select("digest", F.coalesce("head", "first").alias("head"))
-    out = signed.select("doc_id", "content", "row", "digest").join(classes, "digest")
+    classes = firsts.select("digest", "first", "n").join(labelled.join(heads, "label").select("digest", "head"), "digest", "left").select("digest", F.coalesce("head", "first").alias("head"), "n")
+    # bags that more than 1/HOT of the rows share, fewer than HOT, are broadcast, so that no task gets all rows of one
+    rows = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(classes.where(F.col("n") * HOT > rows).drop("n"))
+    members = signed.select("doc_id", "content", "row", "digest")
+    out = members.join(hot, "digest").unionByName(members.join(hot, "digest", "left_anti").join(classes.drop("n"), "digest"))
     return out.select("doc_id", "content", F.col("head.doc_id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept"))
 
 

@@ -282,7 +282,7 @@ def sorted_records(scratch: Scratch, records: Stream | Pieces, words: int, word:
 
 
 #: Words of names that end the recursion if they reach CAP symbols, two names a word.
-WORDS = 8
+WORDS = 28
 
 
 def reaches(level: Level) -> bool:

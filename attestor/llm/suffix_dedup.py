@@ -259,12 +259,20 @@ def _compare_segments(hot: int | None):
     return run
 
 
+def _lists(column: pa.ListArray, *fields: str) -> Iterator[list[tuple]]:
+    """The structs of each list as tuples; nothing for a null."""
+    values, offsets = column.values, column.offsets.to_pylist()
+    parts = [values.field(f).to_numpy() for f in fields]
+    for a, b, there in zip(offsets, offsets[1:], column.is_valid().to_pylist(), strict=False):
+        yield list(zip(*(p[a:b].tolist() for p in parts), strict=True)) if there and a < b else []
+
+
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of segments, from texts with lists of segments."""
     for batch in by_size(batches, "text", BATCH_BYTES):
         rows = []
-        for doc, tag, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text", "found")), strict=True):
-            rows += [(s["key"], doc, tag, s["start"], text[s["start"] : s["stop"]]) for s in found]
+        for doc, tag, text, found in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), _lists(batch.column("found"), "key", "start", "stop"), strict=True):
+            rows += [(key, doc, tag, start, text[start:stop]) for key, start, stop in found]
         columns = list(zip(*rows, strict=True)) or [()] * 5
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["key", "id", "tag", "base", "text"])
 
@@ -403,19 +411,18 @@ def _cut(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_size(batches, "text", BATCH_BYTES):
             out: dict[str, list] = {name: [] for name in RESULT.names}
-            for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for doc_id, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), _lists(batch.column("found"), "start", "stop"), strict=True):
+                text = text or b""
                 spans: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in found or ()):
-                    if spans and s[0] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], s[1])
+                for start, stop in sorted(found):
+                    if spans and start <= spans[-1][1]:
+                        if stop > spans[-1][1]:
+                            spans[-1][1] = stop
                     else:
-                        spans.append(list(s))
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(text[at:a])
-                    at = b
-                rest = b"".join((*kept, (text or b"")[at:]))
-                row = (doc_id, len(text or b""), len(text or b"") - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if with_bytes else None)
+                        spans.append([start, stop])
+                edges = [0, *(x for span in spans for x in span), len(text)]
+                rest = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]) if spans else text
+                row = (doc_id, len(text), len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans, rest if with_bytes else None)
                 for name, value in zip(RESULT.names, row, strict=True):
                     out[name].append(value)
             yield pa.RecordBatch.from_pydict(out, RESULT)
