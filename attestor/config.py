@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from attestor.operators.sampling import check_seed
 
-JOBS = ("km_with_gpt", "skim_with_gpt")
+JOBS = ("pairs", "chains")
 
 
 @dataclass(frozen=True)
@@ -16,7 +16,7 @@ class Job:
     a_terms: tuple[str, ...]
     b_terms: tuple[str, ...]
     c_terms: tuple[str, ...] = ()
-    kind: str = "km_with_gpt"
+    kind: str = "pairs"
     comparison: bool = False
     position: bool = False
     fet_threshold: float = 1.0
@@ -40,9 +40,9 @@ class Job:
             raise ValueError(f"kind is one of {JOBS}")
         if not self.a_terms or not self.b_terms:
             raise ValueError("A and B terms are needed")
-        if (self.kind == "skim_with_gpt") != bool(self.c_terms):
+        if (self.kind == "chains") != bool(self.c_terms):
             raise ValueError("chains need C terms, pairs have none")
-        if self.comparison and (self.kind != "km_with_gpt" or len(self.b_terms) != 2):
+        if self.comparison and (self.kind != "pairs" or len(self.b_terms) != 2):
             raise ValueError("a comparison has exactly two B terms and no C terms")
         if self.position and len({len(x) for x in (self.a_terms, self.b_terms, self.c_terms) if x}) != 1:
             raise ValueError("lists that are paired by place must be equally long")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.sources.providers import Failed, Refused, retried
+
 #: Names of labels and tallies in payloads.
 LABELS_COMPARISON = {"support_H1": ("supports_H1",), "support_H2": ("supports_H2",), "both": ("both",), "neither_or_inconclusive": ("neither", "inconclusive")}
 LABELS_SINGLE = {"support": ("supports",), "refute": ("refutes",), "inconclusive": ("inconclusive",)}
@@ -86,24 +88,27 @@ def tally_judge(h1: Column, h2: Column) -> Column:
     return 50 + 50 * (h1 - h2) / F.nullif(h1 + h2, F.lit(0))
 
 
-def judged(rows: DataFrame, model: Callable[[], Callable[[str], str]], retries: int = 3, prompt: str = "prompt", answer: str = "payload") -> DataFrame:
-    """rows with the model's answer. model() is made once a partition; each call is tried retries times, then the answer is null.
+def judged(rows: DataFrame, model: Callable[[], Callable[[str], str]], retries: int = 3, prompt: str = "prompt", answer: str = "payload", delay: float = 0.0, factor: float | None = None) -> DataFrame:
+    """rows with the model's answer. model() is made once a partition; each call is tried `retries` times, `delay` seconds
+    apart, or ever longer by `factor`; then the answer is null. After a Refused a partition asks nothing more.
 
     A task that is lost repeats its calls: write the result before it is used twice.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = model()
+        ask, refused = model(), False
 
         def tried(text: str) -> str | None:
-            for _ in range(retries):
-                try:
-                    return ask(text)
-                except StopIteration:
-                    return None
-                except Exception:  # noqa: BLE001, S112  whatever a provider raises
-                    continue
+            nonlocal refused
+            if refused:
+                return None
+            try:
+                return retried(lambda: ask(text), retries, delay, factor, final=(Refused, Failed, StopIteration))
+            except Refused:
+                refused = True
+            except Exception:  # noqa: BLE001  whatever a provider raises
+                pass
             return None
 
         for batch in batches:

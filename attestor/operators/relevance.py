@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,26 +50,49 @@ def with_articles(where: DataFrame, articles: DataFrame, text: str = "abstract")
     return where.join(once, "pmid", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def classify(rows: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", answer: str = "answer") -> DataFrame:
-    """rows with the model's answer to each prompt. model() is made once a partition; an answer that fails is empty.
+#: Prompts of one call, calls at a time in a partition, seconds that the last ones may take.
+PROMPTS, WORKERS, DRAIN = 64, 10, 1800.0
 
-    Wrong results hide behind empty answers, so a batch of which every prompt fails raises the last error.
+
+def classify(rows: DataFrame, model: Callable[[], Callable[[list[str]], list[str]]], prompt: str = "prompt", answer: str = "answer", size: int = PROMPTS, workers: int = 1, drain: float = DRAIN) -> DataFrame:
+    """rows with the model's answer to each prompt. model() is made once a partition and gets `size` prompts a call.
+
+    With workers, that many calls run at a time; those that are not done `drain` seconds after the last was handed in
+    have failed. Prompts of a call that fails are asked one by one, and one that fails again has an empty answer. Wrong
+    results hide behind empty answers, so a partition of which every prompt fails raises the last error.
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, `{answer}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = model()
+        ask, asked, lost, last = model(), 0, 0, None
+
+        def call(prompts: list[str]) -> list[str | Exception]:
+            try:
+                found = list(ask(prompts))
+                if len(found) != len(prompts):
+                    raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+                return found
+            except Exception as error:  # noqa: BLE001  whatever a provider raises
+                return [x for p in prompts for x in call([p])] if len(prompts) > 1 else [error]
+
+        pool = ThreadPoolExecutor(workers) if workers > 1 else None
         for batch in batches:
-            answers, failed, last = [], 0, None
-            for text in batch[prompt]:
-                try:
-                    answers.append(ask([text])[0])
-                except Exception as error:  # noqa: BLE001  whatever a provider raises
-                    answers.append("")
-                    failed, last = failed + 1, error
-            if last is not None and failed == len(batch):
-                raise last
-            yield batch.assign(**{answer: answers})
+            texts = batch[prompt].tolist()
+            parts = [texts[i : i + size] for i in range(0, len(texts), size)]
+            if pool is None:
+                found = [call(p) for p in parts]
+            else:
+                calls = [pool.submit(call, p) for p in parts]
+                done = wait(calls, timeout=drain).done
+                found = [c.result() if c in done else [TimeoutError("no answer in time")] * len(p) for c, p in zip(calls, parts, strict=True)]
+            answers = [x for part in found for x in part]
+            errors = [x for x in answers if isinstance(x, Exception)]
+            asked, lost, last = asked + len(answers), lost + len(errors), errors[-1] if errors else last
+            yield batch.assign(**{answer: ["" if isinstance(x, Exception) else x for x in answers]})
+        if pool is not None:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if last is not None and lost == asked:
+            raise last
 
     return rows.mapInPandas(run, schema)
 

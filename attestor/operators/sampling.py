@@ -35,10 +35,12 @@ def draw_key(seed: int, iteration: Column, pmid: Column) -> Column:
 
 
 def sample_pools(rows: DataFrame, keys: list[str], seed: int, iteration: Column, floor: float = FLOOR, target: int = TARGET) -> DataFrame:
-    """Rows (keys, pool 1 or 2, pmid), without repeats, sampled by allocation(); draw is a row's place within its pool."""
+    """Rows (keys, pool 1 or 2, pmid, and pos if there is one), without repeats, sampled by allocation(); draw is a row's
+    place within its pool. No pool gives more than target, so each task keeps that many rows of a pool before any shuffle."""
     totals = rows.groupBy(*keys).agg(F.count_if(F.col("pool") == 1).alias("total1"), F.count_if(F.col("pool") == 2).alias("total2"))
     n1, n2 = allocation(F.col("total1"), F.col("total2"), floor, target)
-    ranked = rows.withColumn("draw", F.row_number().over(Window.partitionBy(*keys, "pool").orderBy(draw_key(seed, iteration, F.col("pmid")), "pmid")))
+    order = [draw_key(seed, iteration, F.col("pmid")), F.col("pmid"), *([F.col("pos")] if "pos" in rows.columns else [])]
+    ranked = rows.withColumn("draw", F.row_number().over(Window.partitionBy(*keys, "pool").orderBy(*order))).where(F.col("draw") <= target)
     joined = ranked.join(totals.withColumns({"n1": n1, "n2": n2}), keys) if keys else ranked.crossJoin(totals.withColumns({"n1": n1, "n2": n2}))
     return joined.where(F.col("draw") <= F.when(F.col("pool") == 1, F.col("n1")).otherwise(F.col("n2")))
 

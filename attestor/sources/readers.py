@@ -86,3 +86,32 @@ def missing_articles(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     from attestor.functions.text import is_pmid
 
     return wanted.where(is_pmid(F.col("pmid").cast("string"))).select("pmid").distinct().join(stored.select("pmid"), "pmid", "left_anti")
+
+
+def year_results(spark: SparkSession, folder: str, name: str = "results") -> DataFrame:
+    """Rows of the result tables in folders cy<year>, all as text, with censor_year: of a folder's <name>.txt, else of its <name>.tsv."""
+    every = tsv(spark, f"{folder.rstrip('/')}/cy*/{name}.t[xs][tv]").withColumn("file", F.col("_metadata.file_path"))
+    rows = every.withColumns({"_folder": F.regexp_extract("file", r"^(.*)/[^/]*$", 1), "censor_year": censor_year_of(F.col("file")), "_text": F.col("file").endswith(".txt")})
+    preferred = rows.where("_text").select("_folder").distinct()
+    return rows.where("_text").unionByName(rows.where("NOT _text").join(preferred, "_folder", "left_anti").select(rows.columns)).drop("_folder", "_text")
+
+
+def results_of_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of results.tsv of each subfolder but those that hold plots, all as text, with their file."""
+    rows = tsv(spark, f"{folder.rstrip('/')}/*/results.tsv").withColumn("file", F.col("_metadata.file_path"))
+    return rows.where(~F.col("file").rlike("/output_visualization_[^/]*/results\\.tsv$"))
+
+
+def scores(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows of text with these columns as numbers; what is no number, such as N/A, is null."""
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
+#: Comparisons of a tournament or ranking, as writers.history stores them.
+HISTORY = "round int, term1 string, term2 string, winner string, mean_score double, bye string"
+COMPARISONS = "pass int, kind string, position_i int, position_j int, term_i string, term_j string, outcome string, mean_score double, status string, swapped boolean, from_cache boolean"
+
+
+def history(spark: SparkSession, path: str, schema: str = HISTORY) -> DataFrame:
+    """What writers.history stored; with COMPARISONS its rows can go to competition.oriented as a cache of verdicts."""
+    return spark.read.schema(schema).json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestor.functions.terms import result_name
@@ -38,3 +38,21 @@ def output_name(kind, a, b, c=None, longest: int = 80):
     if c is not None:
         parts["chain"] = [filename(a, longest), F.lit("_"), filename(c, longest), F.lit("_"), filename(b, longest)]
     return result_name(F.concat(*parts[kind]))
+
+
+def history(spark: SparkSession, rounds: list[dict], path: str, schema: str, mode: str = "error") -> None:
+    """Comparisons of a tournament or ranking, as its loop on the driver gives them, as JSON lines; readers.history reads them again."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    spark.createDataFrame([tuple(r.get(n) for n in names) for r in rounds], schema).coalesce(1).write.mode(mode).json(path)
+
+
+def ranking(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """A ranking (rank, term, ...) as a table and as lines "1. term" of text, both in order."""
+    ordered = rows.orderBy("rank").coalesce(1)
+    tsv(ordered, f"{path.rstrip('/')}/ranking.tsv", mode)
+    ordered.select(F.format_string("%d. %s", F.col("rank").cast("int"), "term").alias("line")).write.mode(mode).text(f"{path.rstrip('/')}/ranking.txt")
+
+
+def parameters(spark: SparkSession, values: dict, path: str, mode: str = "error") -> None:
+    """A job's settings as a table (name, value)."""
+    spark.createDataFrame([(k, str(v)) for k, v in values.items()], "name string, value string").coalesce(1).write.mode(mode).option("header", True).csv(path)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import attestor.plans.evidence
+import attestor.plans.queries_jobs
 import attestor.plans.queries_scores
 import attestor.plans.queries_text
 from attestor.plans.registry import ORACLE_SQL, QUERIES

@@ -67,8 +67,8 @@ def test_output_names(spark):
 def test_jobs():
     assert Job(("a",), ("b", "c")).combinations() == [("a", ("b", "c"), None)]
     assert Job(("a", "x"), ("b", "c"), position=True).combinations() == [("a", ("b",), None), ("x", ("c",), None)]
-    assert len(Job(("a", "x"), ("b",), ("c", "d"), kind="skim_with_gpt").combinations()) == 4
-    for bad in ({"a_terms": ()}, {"comparison": True}, {"position": True, "a_terms": ("a", "z")}, {"kind": "skim_with_gpt"}, {"sample_seed": True}, {"sample_floor": 2}):
+    assert len(Job(("a", "x"), ("b",), ("c", "d"), kind="chains").combinations()) == 4
+    for bad in ({"a_terms": ()}, {"comparison": True}, {"position": True, "a_terms": ("a", "z")}, {"kind": "chains"}, {"sample_seed": True}, {"sample_floor": 2}):
         with pytest.raises(ValueError):
             Job(**({"a_terms": ("a",), "b_terms": ("b",)} | bad))
 
