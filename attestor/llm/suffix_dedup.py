@@ -117,24 +117,30 @@ class Hashes:
         return mix((self.sums[size:] - self.sums[:-size]) * self.down[: len(self.sums) - size])
 
 
-def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+def sliding(reduce: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least, or greatest, of each `width` successive values."""
     out, step = x, 1
     while step * 2 <= width:
-        out, step = np.minimum(out[:-step], out[step:]), step * 2
+        out, step = reduce(out[:-step], out[step:]), step * 2
     n = len(x) - width + 1
-    return np.minimum(out[:n], out[width - step :][:n])
+    return reduce(out[:n], out[width - step :][:n])
 
 
-def occurrence(x: np.ndarray, wanted: np.ndarray, at: np.ndarray, step: int, most: int) -> np.ndarray:
-    """Where each wanted value is found first, from `at` on in the direction of step, within `most` places."""
+def minimisers(x: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """Where values are the least of some window: where the greatest minimum of the windows around is the value itself."""
+    around = np.zeros(len(least) + 2 * width - 2, x.dtype)
+    around[width - 1 : width - 1 + len(least)] = least
+    return np.flatnonzero(sliding(np.maximum, around, width) == x)
+
+
+def occurrence(x: np.ndarray, wanted: np.ndarray, places: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Where each wanted value is found first among the places, from number `at` of them on in the direction of step."""
     at = at.copy()
-    left = np.flatnonzero(x[at] != wanted)
-    for _ in range(most):
-        if not len(left):
-            break
+    left = np.flatnonzero(x[places[at]] != wanted)
+    while len(left):
         at[left] += step
-        left = left[x[at[left]] != wanted[left]]
-    return at
+        left = left[x[places[at[left]]] != wanted[left]]
+    return places[at]
 
 
 def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[bytes], length: int, gram: int, powers: Powers) -> Records | None:
@@ -147,7 +153,7 @@ def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[b
     data = b"".join(p[2] for p in pieces)
     hashes = Hashes(data, powers)
     grams = hashes.grams(gram)
-    least = sliding_minimum(grams, length - gram + 1)
+    least = sliding(np.minimum, grams, length - gram + 1)
     piece = np.repeat(np.arange(len(pieces)), sizes)
     inside = piece[: len(least)] == piece[length - 1 :]
     first = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (piece[1 : len(least)] != piece[: len(least) - 1]) | (inside[1:] != inside[:-1]))))
@@ -156,8 +162,9 @@ def segments(ids: np.ndarray, tags: np.ndarray, bases: np.ndarray, texts: list[b
     first, last = first[whole], last[whole] - 1
     # strings of a segment can only be equal if the minimiser occurs twice among their grams
     width = length - gram + 1
-    at = occurrence(grams, least[first], first, 1, width)
-    loops = at != occurrence(grams, least[first], last + width - 1, -1, width)
+    places = minimisers(grams, least, width)
+    at = occurrence(grams, least[first], places, np.searchsorted(places, first), 1)
+    loops = at != occurrence(grams, least[first], places, np.searchsorted(places, last + width - 1, side="right") - 1, -1)
     last = last + length
     # a string holds the minimiser and `rest` bytes around it, so two that are equal share one of three surroundings
     rest, third, around = length - gram, (length - gram) // 3, np.zeros((len(first), 3), np.uint16)

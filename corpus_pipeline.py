@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all the rows that the one before kept; its result is
-written as Parquet and read again. All but the last return the columns of documents.
+written as Parquet and read again. All but the last return the columns of documents, all others that a table has with
+them. Very long texts are read whole in every stage, rows that tie or repeat are treated as each docstring says.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from attestor.llm.tables import settle, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the classifier's threshold."""
+    """Documents whose quality score reaches the classifier's threshold. A null text is scored as an empty one, rows of one
+    id each by their own text; an empty table gives an empty one, and no usable label keeps all."""
     return quality_pu.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,13 +32,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without benchmark passages; documents that consist of them for the most part go."""
+    """Texts without benchmark passages; documents that consist of them for the most part go. Null and empty texts stay as
+    they are, each row is judged by itself."""
     clean = decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"))
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all that is left, with their sequences."""
+    """Pieces of all that is left, with their sequences; a null text is empty and still has its end."""
     return packing.pack_documents(docs)
 
 
