@@ -228,9 +228,23 @@ def beta_mom(spark, sf_dir):
     return statistics.beta_summary(_units(spark, sf_dir), ["term"]).select("term", F.round("a_mom", 6).alias("a"), F.round("b_mom", 6).alias("b"))
 
 
-@query()
+def _digamma(x: str) -> str:
+    return f"(ln({x} + 10) - 1 / (2 * ({x} + 10)) - 1 / (12 * power({x} + 10, 2)) + 1 / (120 * power({x} + 10, 4)) - 1 / (252 * power({x} + 10, 6)) - list_sum([1 / ({x} + i) FOR i IN range(10)]))"
+
+
+def _trigamma(x: str) -> str:
+    return f"(1 / ({x} + 10) + 1 / (2 * power({x} + 10, 2)) + 1 / (6 * power({x} + 10, 3)) - 1 / (30 * power({x} + 10, 5)) + 1 / (42 * power({x} + 10, 7)) + list_sum([1 / power({x} + i, 2) FOR i IN range(10)]))"
+
+
+#: Newton's method for the two conditions of the largest likelihood, from small parameters, where it does not overshoot.
+@query(f"""WITH RECURSIVE {inputs.RUNS}, c AS (SELECT term, least(1 - 1e-10, greatest(1e-10, coalesce(TRY_CAST(score AS DOUBLE) / 100, 0.5::DOUBLE))) AS x FROM runs),
+l AS (SELECT term, avg(ln(x)) AS lx, avg(ln(1 - x)) AS ly FROM c GROUP BY term),
+fit AS (SELECT term, lx, ly, 0.02::DOUBLE AS a, 0.02::DOUBLE AS b, 0 AS step FROM l
+  UNION ALL SELECT term, lx, ly, a - (ga * jb - gb * t) / (ja * jb - t * t), b - (gb * ja - ga * t) / (ja * jb - t * t), step + 1 FROM (
+    SELECT *, {_digamma('(a + b)')} - {_digamma('a')} + lx AS ga, {_digamma('(a + b)')} - {_digamma('b')} + ly AS gb, {_trigamma('(a + b)')} AS t, {_trigamma('(a + b)')} - {_trigamma('a')} AS ja, {_trigamma('(a + b)')} - {_trigamma('b')} AS jb FROM fit WHERE step < 60))
+SELECT term, round(a, 6) AS a_mle, round(b, 6) AS b_mle FROM fit WHERE step = 60""")
 def beta_mle(spark, sf_dir):
-    return statistics.beta_summary(_units(spark, sf_dir), ["term"]).select("term", "a_mle", "b_mle")
+    return statistics.beta_summary(_units(spark, sf_dir), ["term"]).select("term", F.round("a_mle", 6).alias("a_mle"), F.round("b_mle", 6).alias("b_mle"))
 
 
 @query()
@@ -238,9 +252,14 @@ def hdi(spark, sf_dir):
     return statistics.beta_summary(_units(spark, sf_dir), ["term"]).withColumn("hdi", statistics.hdi(F.col("a_mom"), F.col("b_mom"))).select("term", F.col("hdi.low").alias("low"), F.col("hdi.high").alias("high"))
 
 
-@query()
+#: Quantiles by adding up the density over angles t, with x = sin(t) ** 2, where it stays finite.
+@query(f"""WITH {UNITS}, k AS (SELECT term, mean * (mean * (1 - mean) / v - 1) AS a, (1 - mean) * (mean * (1 - mean) / v - 1) AS b FROM m),
+g AS (SELECT term, i, 2 * exp(lgamma(a + b) - lgamma(a) - lgamma(b)) * power(sin(pi() / 2 * (i - 0.5) / 20000), 2 * a - 1) * power(cos(pi() / 2 * (i - 0.5) / 20000), 2 * b - 1) * pi() / 2 / 20000 AS p FROM k, (SELECT unnest(range(1, 20001)) AS i)),
+f AS (SELECT term, i, p, sum(p) OVER (PARTITION BY term ORDER BY i) AS f FROM g),
+q AS (SELECT term, q, min_by(power(sin(pi() / 2 * (i - (f - q) / p) / 20000), 2), i) AS x FROM f, (SELECT unnest([0.025::DOUBLE, 0.975::DOUBLE]) AS q) WHERE f >= q GROUP BY ALL)
+SELECT term, round(max(CASE WHEN q < 0.5 THEN x END), 3) AS low, round(max(CASE WHEN q > 0.5 THEN x END), 3) AS high FROM q GROUP BY term""")
 def eti(spark, sf_dir):
-    return statistics.beta_summary(_units(spark, sf_dir), ["term"]).withColumn("eti", statistics.eti(F.col("a_mom"), F.col("b_mom"))).select("term", F.col("eti.low").alias("low"), F.col("eti.high").alias("high"))
+    return statistics.beta_summary(_units(spark, sf_dir), ["term"]).withColumn("eti", statistics.eti(F.col("a_mom"), F.col("b_mom"))).select("term", F.round(F.col("eti.low"), 3).alias("low"), F.round(F.col("eti.high"), 3).alias("high"))
 
 
 PRIOR = f"{inputs.RUNS}, c AS (SELECT term, sum(support_h1) AS h1, sum(support_h2) AS h2, count(*) FILTER (WHERE event_type = 'purchase') AS b, count(*) // 40 AS n FROM runs GROUP BY term), pr AS (SELECT term, greatest(coalesce((h1 + b / 2) * s, 0.01), 0.01) AS a, greatest(coalesce((h2 + b / 2) * s, 0.01), 0.01) AS b FROM (SELECT *, CASE WHEN n <= 50 THEN 1.0::DOUBLE ELSE n / nullif(h1 + h2 + b, 0) END AS s FROM c))"
