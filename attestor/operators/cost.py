@@ -51,15 +51,41 @@ def input_tokens(ab: Column, words: Column, post_n: int, bc: Column | None = Non
     return out
 
 
-def output_tokens(rows: DataFrame, intervals: DataFrame, count: str, keys: list[str]) -> DataFrame:
+#: Output tokens for up to 25, 50, ..., 200 articles, by kind of job and family of models.
+OUTPUT_TOKENS = {
+    ("pairs", "o1"): (4400, 4600, 4800, 5000, 5200, 5400, 5600, 5800),
+    ("pairs", "r1"): (780, 850, 920, 990, 1060, 1130, 1200, 1270),
+    ("pairs", "o3"): (152500, 305000, 457500, 610000, 762500, 915000, 1067500, 1220000),
+    ("pairs", "gpt-5"): (800, 900, 1000, 1100, 1200, 1300, 1400, 1500),
+    ("chains", "o1"): (8500, 9800, 11000, 12300, 13600, 14800, 16000, 17400),
+    ("chains", "r1"): (2690, 5710, 8730, 11750, 14770, 17790, 20810, 23830),
+    ("chains", "o3"): (152500, 305000, 457500, 610000, 762500, 915000, 1067500, 1220000),
+    ("chains", "gpt-5"): (1500, 1800, 2100, 2400, 2700, 3000, 3300, 3600),
+}
+FAMILIES = {"r1": "r1", "gpt-5": "gpt-5", "o3": "o3", "o3-mini": "o3"}
+
+
+def output_intervals(spark: SparkSession, job: str, model: str) -> DataFrame:
+    """The price list (start, end, tokens) of a kind of job and a model; models of no family count as o1."""
+    tokens = OUTPUT_TOKENS[job, FAMILIES.get(model, "o1")]
+    return spark.createDataFrame([(25 * i, 25 * i + 25, t) for i, t in enumerate(tokens)], "start int, end int, tokens int")
+
+
+#: Rows of a price list at most.
+PRICE_LIST = 1000
+
+
+def output_tokens(rows: DataFrame, intervals: DataFrame, count: str) -> DataFrame:
     """rows with the tokens of the first interval (start, end, tokens), ends included, that holds their count; of the last where none does.
 
-    intervals is a price list of a few rows and is broadcast.
+    intervals is a price list: it becomes part of an expression, and one that is too long for that is an error.
     """
-    last = intervals.orderBy(F.desc("start")).first()
-    hit = rows.join(F.broadcast(intervals), (F.col(count) >= F.col("start")) & (F.col(count) <= F.col("end")), "left")
-    best = hit.groupBy(*keys).agg(F.min(F.struct("start", "tokens")).alias("_first"))
-    return rows.join(best, keys).withColumn("output_tokens", F.coalesce(F.col("_first.tokens"), F.lit(last["tokens"]))).drop("_first")
+    listed = sorted(tuple(r) for r in intervals.select("start", "end", "tokens").limit(PRICE_LIST + 1).collect())
+    if not 0 < len(listed) <= PRICE_LIST:
+        raise ValueError(f"a price list has 1 to {PRICE_LIST} rows")
+    each = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(t).alias("tokens")) for a, b, t in listed])
+    first = F.get(F.filter(each, lambda x: F.col(count).between(x["start"], x["end"])), F.lit(0))
+    return rows.withColumn("output_tokens", F.coalesce(first["tokens"], F.lit(listed[-1][2])))
 
 
 def total(per_iteration: Column, n_iterations: int, n_years: int = 1) -> Column:

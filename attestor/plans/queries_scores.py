@@ -497,7 +497,16 @@ INTERVALS = [(1, 25, 300), (25, 50, 420), (51, 100, 700)]
 def cost_output(spark, sf_dir):
     intervals = spark.createDataFrame(INTERVALS, "start int, end int, tokens int")
     rows = inputs.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 130).alias("n"))
-    return cost.output_tokens(rows, intervals, "n", ["c_custkey"]).select("c_custkey", "output_tokens")
+    return cost.output_tokens(rows, intervals, "n").select("c_custkey", "output_tokens")
+
+
+@query(f"""WITH t AS ({' UNION ALL '.join(f"SELECT '{job}' AS job, '{family}' AS family, {list(tokens)} AS tokens" for (job, family), tokens in cost.OUTPUT_TOKENS.items())}),
+m AS (SELECT * FROM (VALUES ('o1', 'o1'), ('r1', 'r1'), ('o3-mini', 'o3'), ('gpt-5', 'gpt-5'), ('odd', 'o1')) v(model, family))
+SELECT job, model, CAST(sum(tokens[CAST(CASE WHEN n > 200 THEN 8 ELSE greatest(1, ceil(n / 25)) END AS INT)]) AS BIGINT) AS tokens FROM (SELECT c_custkey % 230 AS n FROM customer), t JOIN m USING (family) GROUP BY ALL""")
+def cost_families(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 230).alias("n"))
+    parts = [cost.output_tokens(rows, cost.output_intervals(spark, job, model), "n").agg(F.sum("output_tokens").alias("tokens")).select(F.lit(job).alias("job"), F.lit(model).alias("model"), "tokens") for job in ("pairs", "chains") for model in ("o1", "r1", "o3-mini", "gpt-5", "odd")]
+    return selection.union_all(*parts)
 
 
 @query("""SELECT model, round(sum(o_custkey * 300) / 1e6 * price * 3 * 35, 4) AS dollars FROM orders,

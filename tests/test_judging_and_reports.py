@@ -111,7 +111,7 @@ def test_costs(spark):
     assert tuple(tokens) == (20 * 300 + 120, 20 * 300 + 120 + 3000)
     intervals = spark.createDataFrame([(1, 25, 300), (25, 50, 420)], "start int, end int, tokens int")
     rows = spark.createDataFrame([(1, 25), (2, 26), (3, 99)], "k int, n int")
-    assert [r["output_tokens"] for r in cost.output_tokens(rows, intervals, "n", ["k"]).orderBy("k").collect()] == [300, 420, 420]
+    assert [r["output_tokens"] for r in cost.output_tokens(rows, intervals, "n").orderBy("k").collect()] == [300, 420, 420]
     prices = spark.createDataFrame([("o1",), ("other",)], "m string").select(cost.price_of(F.col("m"), 1).alias("p")).collect()
     assert [r["p"] for r in prices] == [60.0, 4.4]
     assert [tuple(r) for r in cost.censor_years(spark, 2000, 2005, 2, 3).collect()] == [(1998, 2000), (2000, 2002), (2002, 2004)]
