@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +69,9 @@ def numbered(rows: DataFrame, keys: list[str], coarse: list[Column], fine: list[
     cut = rows.withColumns(dict(zip(parts, bare, strict=True))).withColumn("_within", F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*fine)))
     sizes = cut.groupBy(*keys, *parts).agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.partitionBy(*keys).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    return cut.join(before, [*keys, *parts]).withColumn(name, F.col("_within") + F.col("_before")).drop("_within", "_before", *parts)
+    same = [cut[c].eqNullSafe(before[c]) for c in (*keys, *parts)]
+    joined = cut.join(before, reduce(and_, same)).select(cut["*"], before["_before"])
+    return joined.withColumn(name, F.col("_within") + F.col("_before")).drop("_within", "_before", *parts)
 
 
 def _direction(c: Column | tuple[Column, bool]) -> tuple[Column, bool]:
@@ -173,7 +177,7 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def every_kth(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """Every k-th row of a small series, from the first on."""
+    """Every k-th row of a small series, such as years or points of a plot, from the first on: one task sorts it."""
     return rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).where(F.col("_n") % k == 0).drop("_n")
 
 

@@ -293,10 +293,11 @@ def relevance_ratio(spark, sf_dir):
     return relevance.relevance_ratio(_masked(spark, sf_dir), ["intersection"]).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(f"WITH {MASKED} SELECT intersection, count(*) AS n, md5(string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pos)) AS digest FROM masked WHERE mask = 1 GROUP BY intersection")
+@query(f"WITH {MASKED} SELECT intersection, pos // 1000 AS part, count(*) AS n, md5(string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pos)) AS digest FROM masked WHERE mask = 1 GROUP BY ALL")
 def explode_regroup(spark, sf_dir):
-    lists = relevance.regroup(relevance.kept(_masked(spark, sf_dir)), ["intersection"], "pmid")
-    return lists.select("intersection", F.size("pmid").cast("long").alias("n"), F.md5(F.array_join(F.col("pmid").cast("array<string>"), ",")).alias("digest"))
+    parts = relevance.kept(_masked(spark, sf_dir)).withColumn("part", F.floor(F.col("pos") / 1000))
+    lists = relevance.regroup(parts, ["intersection", "part"], "pmid")
+    return lists.select("intersection", "part", F.size("pmid").cast("long").alias("n"), F.md5(F.array_join(F.col("pmid").cast("array<string>"), ",")).alias("digest"))
 
 
 KEPT = "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 100000"
@@ -374,11 +375,11 @@ def iteration_cross(spark, sf_dir):
     return sampling.iterations(inputs.table(spark, sf_dir, "supplier").select("s_suppkey"), 5)
 
 
-@query(f"WITH {inputs.MENTION} SELECT token, substring(sha256(string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pmid)), 1, 8) AS fingerprint FROM mention WHERE token IN {tuple(inputs.B_TERMS)} GROUP BY token")
+@query(f"WITH {inputs.MENTION} SELECT token, pmid // 5000 AS pool, substring(sha256(string_agg(CAST(pmid AS VARCHAR), ',' ORDER BY pmid)), 1, 8) AS fingerprint FROM mention WHERE token IN {tuple(inputs.B_TERMS)} GROUP BY ALL")
 def pool_fingerprint(spark, sf_dir):
     mention = cooccurrence.mentions(inputs.articles(spark, sf_dir)).where(F.col("token").isin(inputs.B_TERMS))
-    lists = relevance.regroup(mention.withColumn("pos", F.col("pmid")), ["token"], "pmid")
-    return lists.select("token", text.fingerprint(F.col("pmid").cast("array<string>")).alias("fingerprint"))
+    lists = relevance.regroup(mention.withColumns({"pos": F.col("pmid"), "pool": F.floor(F.col("pmid") / 5000)}), ["token", "pool"], "pmid")
+    return lists.select("token", "pool", text.fingerprint(F.col("pmid").cast("array<string>")).alias("fingerprint"))
 
 
 @query(f"WITH {inputs.MENTION} SELECT p.pub_year, {', '.join(f'''CAST(count(*) FILTER (WHERE token = '{t}') AS BIGINT) AS {t}''' for t in inputs.B_TERMS)} FROM (SELECT pmid, token, CAST(1975 + pmid % 50 AS INT) AS pub_year FROM mention WHERE token IN {tuple(inputs.B_TERMS)}) p GROUP BY p.pub_year")
