@@ -60,12 +60,10 @@ class Scratch:
 
 
 class Stream:
-    """Records that are appended to a file and then read in chunks, from either end."""
+    """Records that are appended, in memory while they are few, then to a file, and read in chunks, from either end."""
 
     def __init__(self, scratch: Scratch, dtype):
-        self.scratch, self.dtype, self.n = scratch, np.dtype(dtype), 0
-        self.path = scratch.path()
-        self.file = open(self.path, "w+b", buffering=0)  # noqa: SIM115
+        self.scratch, self.dtype, self.n, self.file = scratch, np.dtype(dtype), 0, None
         self.buffer: list[bytes] = []
         self.buffered = 0
 
@@ -75,16 +73,24 @@ class Stream:
         self.buffered += len(data)
         self.n += len(records)
         if self.buffered > BUFFER:
-            self._flush()
+            self._write()
 
-    def _flush(self) -> None:
+    def _write(self) -> None:
+        if self.file is None:
+            self.path = self.scratch.path()
+            self.file = open(self.path, "w+b", buffering=0)  # noqa: SIM115
         if self.buffer:
             self.file.write(b"".join(self.buffer))
             self.buffer, self.buffered = [], 0
 
     def at(self, first: int, count: int) -> np.ndarray:
-        self._flush()
-        return np.frombuffer(os.pread(self.file.fileno(), count * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
+        size = self.dtype.itemsize
+        if self.file is None:
+            self.buffer = [b"".join(self.buffer)]
+            return np.frombuffer(self.buffer[0], self.dtype)[first : first + count]
+        if self.buffer:
+            self._write()
+        return np.frombuffer(os.pread(self.file.fileno(), count * size, first * size), self.dtype)
 
     def chunks(self) -> Iterator[np.ndarray]:
         for first in range(0, self.n, self.scratch.chunk):
@@ -94,16 +100,21 @@ class Stream:
         """Chunks from the end, each in falling order; what has been read is cut off."""
         for first in reversed(range(0, self.n, self.scratch.chunk)):
             found = self.at(first, min(self.scratch.chunk, self.n - first))
-            os.ftruncate(self.file.fileno(), first * self.dtype.itemsize)
+            if self.file is not None:
+                os.ftruncate(self.file.fileno(), first * self.dtype.itemsize)
             yield found[::-1]
 
     def mapped(self) -> np.ndarray:
-        self._flush()
-        return np.memmap(self.path, self.dtype, "r").view(np.ndarray) if self.n else np.zeros(0, self.dtype)
+        if self.file is None:
+            return self.at(0, self.n)
+        self._write()
+        return np.memmap(self.path, self.dtype, "r").view(np.ndarray)
 
     def drop(self) -> None:
-        self.file.close()
-        os.unlink(self.path)
+        self.buffer = []
+        if self.file is not None:
+            self.file.close()
+            os.unlink(self.path)
 
 
 class Minima:
@@ -637,7 +648,7 @@ def sort_level(level: Level) -> Stream:
 
     names, order = scratch.array(m, np.int32), Stream(scratch, np.int32)
     # about so many suffixes in a lane that few put something into their own
-    size = int(min(scratch.chunk, max(64, (m / 4) ** 0.5)))
+    size = int(min(scratch.chunk, max(64, (3 * m) ** 0.5)))
     lanes, heavy = Stream(scratch, np.int64), Stream(scratch, bool)
     done, distinct, slot, name = 0, 0, -1, -1
     held: tuple[np.ndarray, None] | None = None
