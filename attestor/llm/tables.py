@@ -49,10 +49,10 @@ def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     go when the application ends, or before that by discard().
 
     narrow is for a few short columns that come out of a shuffle: many small partitions then go to fewer
-    files, four for each of the cluster's cores at most."""
+    files, one for each of the cluster's cores at most."""
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
+        df = df.coalesce(spark.sparkContext.defaultParallelism)
     path = f"{shared_dir(spark).rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
