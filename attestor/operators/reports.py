@@ -32,8 +32,10 @@ def merged_runs(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.transform(in_time, lambda x: x["score"]).alias("scores"), F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
-def year_means(rows: DataFrame, keys: list[str], values: list[str], spread: str | None = None) -> DataFrame:
+def year_means(rows: DataFrame, keys: list[str], values: list[str], spread: str | None = None, firsts: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """Means of the values, the variance of one of them, and the first value by `order` of further columns."""
     extra = [F.var_samp(spread).alias(f"{spread}_variance")] if spread else []
+    extra += [F.min_by(f, order).alias(f"{f}_first") for f in firsts or []]
     return rows.groupBy(*keys).agg(*[F.avg(v).alias(f"{v}_mean") for v in values], *extra)
 
 

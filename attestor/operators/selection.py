@@ -184,3 +184,9 @@ def every_kth(rows: DataFrame, k: int, order: list[Column]) -> DataFrame:
 def shuffle_key(seed: int, *ids: Column) -> Column:
     """A sort key that any engine can repeat: the MD5 of seed and ids."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[i.cast("string") for i in ids]))
+
+
+def sample_n(rows: DataFrame, keys: list[str], n: int, seed: int, *ids: Column) -> DataFrame:
+    """n rows of each key, or all where there are fewer, by least shuffle_key; each task keeps n rows of a key before any shuffle."""
+    draw = F.row_number().over(Window.partitionBy(*keys).orderBy(shuffle_key(seed, *ids), *ids))
+    return rows.withColumn("draw", draw).where(F.col("draw") <= n)

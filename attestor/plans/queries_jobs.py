@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.config import Job
-from attestor.operators import dispatch
+from attestor.operators import dispatch, reports, selection
 from attestor.plans import inputs
 from attestor.plans.registry import query
 
@@ -128,3 +128,15 @@ def list_breaks(spark, sf_dir):
 @query("SELECT s_suppkey, format('pair{:02d}_{}_vs_{}', s_suppkey, s_name, concat('n', s_nationkey)) AS pair_id FROM supplier")
 def pair_ids(spark, sf_dir):
     return inputs.table(spark, sf_dir, "supplier").select("s_suppkey", dispatch.pair_id(F.col("s_suppkey"), F.col("s_name"), F.concat(F.lit("n"), F.col("s_nationkey"))).alias("pair_id"))
+
+
+@query("SELECT user_id, event_id, draw FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws(':', '9', CAST(event_id AS VARCHAR))), event_id) AS draw FROM events) WHERE draw <= 3")
+def sample_n(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "events").select("user_id", "event_id")
+    return selection.sample_n(rows, ["user_id"], 3, 9, F.col("event_id")).withColumn("draw", F.col("draw").cast("long"))
+
+
+@query(f"WITH {inputs.RUNS} SELECT censor_year, round(avg(support_h1), 6) AS support_h1_mean, min_by(term, event_id) AS term_first, min_by(event_type, event_id) AS event_type_first FROM runs GROUP BY censor_year")
+def year_firsts(spark, sf_dir):
+    out = reports.year_means(inputs.runs(spark, sf_dir), ["censor_year"], ["support_h1"], firsts=["term", "event_type"], order="event_id")
+    return out.withColumn("support_h1_mean", F.round("support_h1_mean", 6))
