@@ -292,7 +292,7 @@ def without_periods(segment: bytes, length: int) -> list[tuple[int, int]]:
     """
     cuts, at = [], 0
     while at + 3 * length <= len(segment):
-        p = segment.find(segment[at + length : at + 2 * length], at + length + 1) - at - length
+        p = segment.find(segment[at + length : at + 2 * length], at + length + 1, at + 3 * length) - at - length
         stop = 0
         if 0 < p < length:
             data = np.frombuffer(segment, np.uint8)
