@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,9 +89,10 @@ def tally_judge(h1: Column, h2: Column) -> Column:
     return 50 + 50 * (h1 - h2) / F.nullif(h1 + h2, F.lit(0))
 
 
-def judged(rows: DataFrame, model: Callable[[], Callable[[str], str]], retries: int = 3, prompt: str = "prompt", answer: str = "payload", delay: float = 0.0, factor: float | None = None) -> DataFrame:
+def judged(rows: DataFrame, model: Callable[[], Callable[[str], str]], retries: int = 3, prompt: str = "prompt", answer: str = "payload", delay: float = 0.0, factor: float | None = None, workers: int = 1) -> DataFrame:
     """rows with the model's answer. model() is made once a partition; each call is tried `retries` times, `delay` seconds
-    apart, or ever longer by `factor`; then the answer is null. After a Refused a partition asks nothing more.
+    apart, or ever longer by `factor`; then the answer is null. `workers` calls run at a time. After a Refused a partition
+    asks nothing more, beyond calls that are on their way.
 
     A task that is lost repeats its calls: write the result before it is used twice.
     """
@@ -111,8 +113,10 @@ def judged(rows: DataFrame, model: Callable[[], Callable[[str], str]], retries:
                 pass
             return None
 
-        for batch in batches:
-            yield batch.assign(**{answer: [tried(t) for t in batch[prompt]]})
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                answers = list(pool.map(tried, batch[prompt])) if workers > 1 else [tried(t) for t in batch[prompt]]
+                yield batch.assign(**{answer: answers})
 
     return rows.mapInPandas(run, f"{fields}, `{answer}` string")
 

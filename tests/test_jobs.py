@@ -142,6 +142,25 @@ def test_nothing_is_asked_after_a_refusal(spark):
     assert [r["payload"] for r in judging.judged(rows, model).orderBy("id").collect()] == ["1", None, None, None, None]
 
 
+def test_iterations_are_judged_at_a_time(spark):
+    rows = spark.range(8).selectExpr("id", "CAST(id AS string) AS prompt").coalesce(1)
+
+    def model():
+        running, most = [], []
+
+        def ask(prompt):
+            running.append(prompt)
+            most.append(len(running))
+            time.sleep(0.3)
+            running.remove(prompt)
+            return str(max(most))
+
+        return ask
+
+    got = [int(r["payload"]) for r in judging.judged(rows, model, workers=5).collect()]
+    assert 2 <= max(got) <= 5 and len(got) == 8
+
+
 def test_jobs_are_polled():
     states = [("queued", None), OSError(), ("started", None), ("finished", [1])]
 
