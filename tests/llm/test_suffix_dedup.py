@@ -9,7 +9,7 @@ import pytest
 from tests.conftest import ROOT
 
 from attestor.llm.induced_sort import CAP, Scratch, sort_suffixes
-from attestor.llm.suffix_dedup import Shard, remove_repeats, without_periods
+from attestor.llm.suffix_dedup import remove_repeats, without_periods
 
 
 def plain_order(text):
