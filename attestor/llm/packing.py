@@ -31,7 +31,7 @@ END_ID = 0
 #: Pieces in a partition; sequences filled to this share are never given up; rounds of exchange at most.
 PIECES, FULL, ROUNDS = 4096, 0.99, 3
 #: Chunks of a text that a task remembers, and the longest of them in bytes; neither bound changes a result.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 250_000, 64
 #: The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from U+0100 on.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _VISIBLE = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -41,7 +41,7 @@ _LATIN = [c for c in map(chr, range(0x21, 0x250)) if c != "'" and not c.isspace(
 _CLASS = {kind: "".join(map(re.escape, (c for c in _LATIN if unicodedata.category(c)[0] in "LN" and unicodedata.category(c)[0] == kind))) for kind in "LN"}
 _PLAIN = re.compile("[" + "".join(map(re.escape, _LATIN)) + "]+")
 _PIECES = re.compile(f"[{_CLASS['L']}]+|[{_CLASS['N']}]|[^{_CLASS['L']}{_CLASS['N']}]+")
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 PIECE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -82,7 +82,7 @@ class ChunkTokenizer:
         lower = text.lower()
         plain = text.isascii()
         if lower.isalpha() and (plain or max(text) < "\u0250"):
-            ids = self._piece(lower)
+            ids = self._piece(lower, False)  # remembered as a chunk
         elif (text.isprintable() and "'" not in text if plain else _PLAIN.fullmatch(lower) and _PLAIN.fullmatch(text)) and "<|" not in text:
             ids = b"".join(map(self._piece, _PIECES.findall(lower)))
         else:
@@ -91,14 +91,14 @@ class ChunkTokenizer:
             self.known[chunk] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: str, remember: bool = True) -> bytes:
         """Ids of letters, a digit or signs, which the model alone turns into tokens."""
         if (ids := self.pieces.get(piece)) is None:
             seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_VISIBLE)
             ids = _packed([t.id for t in self.tokenize(seen)])
             if len(self.pieces) > MEMORY:
                 self.pieces = {}
-            if len(piece) <= LONGEST:
+            if remember and len(piece) <= LONGEST:
                 self.pieces[piece] = ids
         return ids
 
