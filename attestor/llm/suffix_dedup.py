@@ -469,7 +469,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     for k, gram in enumerate(grams):
         last = k + 1 == len(grams)
         blobs = level.mapInArrow(_hash_segments(max(1, -(-n // bucket_bytes)), length, gram, held), BLOBS_DDL)
-        now = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(None if last else hot_bytes), SPANS_DDL), "segments", narrow=True)
+        now = settle(blobs.groupBy("bucket").applyInArrow(_compare_segments(None if last else hot_bytes), SPANS_DDL), "segments")
         found.append(now)
         sizes = {r["kind"]: r["size"] for r in now.where(F.col("kind") != REPEAT).groupBy("kind").agg(F.sum(F.col("stop") - F.col("start")).alias("size")).collect()}
         if SORT in sizes:

@@ -48,11 +48,11 @@ def settle(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     executor costs no recomputation, and columns such as a partition's number keep their values. The files
     go when the application ends, or before that by discard().
 
-    narrow is for a few short columns that come out of a shuffle: many small partitions then go to fewer
-    files, one for each of the cluster's cores at most."""
+    narrow is for a few short columns that come out of a shuffle: they are dealt out anew, so that files hold as much
+    as the session asks for, few where there is little and many where there is much."""
     spark = df.sparkSession
     if narrow:
-        df = df.coalesce(spark.sparkContext.defaultParallelism)
+        df = df.hint("rebalance")
     path = f"{shared_dir(spark).rstrip('/')}/attestor/{name}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
