@@ -481,7 +481,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     every = [x.where(F.col("kind") == REPEAT).select("id", "tag", "start", "stop") for x in found]
     for part_size, part in parts:
-        shards = max(1, -(-part_size // shard_bytes))
+        # where there is less than a shard for each core, smaller ones
+        shards = max(1, -(-part_size // shard_bytes), min(source.sparkSession.sparkContext.defaultParallelism, part_size // max(1, shard_bytes // 8)))
         dealt = part.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).select("shard", "id", "tag", "base", "text")
         ordered = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", "tag", "base")
         every.append(ordered.mapInArrow(_sort_shards(length, memory), SPANS_DDL).select("id", "tag", "start", "stop"))
