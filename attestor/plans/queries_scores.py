@@ -467,7 +467,7 @@ def tournament(spark, sf_dir):
 
 @query()
 def ranking(spark, sf_dir):
-    order, _, out, converged = competition.ranking(spark, _contenders(spark, sf_dir), _judge(spark, sf_dir), seed=1, threshold=0.5)
+    order, _, out, converged = competition.ranking(spark, _contenders(spark, sf_dir), _judge(spark, sf_dir), seed=1, threshold=0.5, presort=True, history=False)
     return spark.createDataFrame([(i + 1, t, out.get(t), converged) for i, t in enumerate(order)], "rank int, term string, reason string, converged boolean")
 
 
